@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespark.llm import mixing, quality
+from rulespark.llm import bpe, mixing, quality, records
 from rulespark.llm.common import table
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    path = vocabularies.path("byte_bpe_50k.tiktoken")
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, vocabularies.PATTERN), path)
+    n = F.expr("length(ids) div 4").alias("n_tokens")
+    return found.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    folder = records.write_records(table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), end_id=2)
+    found = records.read_records(spark, folder)
+    return found.select("doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(table(spark, sf_dir, "documents"))
     times = F.size("mix_shards")
@@ -24,7 +41,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mix_sources, op6_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op5_mix_sources, op6_quality_rules)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
