@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespark.llm import bpe, mixing, quality, records
+from rulespark.llm import bpe, jaccard, mixing, quality, records
 from rulespark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(table(spark, sf_dir, "documents"))
     times = F.size("mix_shards")
@@ -41,7 +45,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op5_mix_sources, op6_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op4_ngram_jaccard_join, op5_mix_sources, op6_quality_rules)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
