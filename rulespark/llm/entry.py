@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespark.llm import bpe, jaccard, mixing, quality, records
+from rulespark.llm import bpe, jaccard, mixing, quality, records, topk
 from rulespark.llm.common import table
 
 
@@ -45,7 +45,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op4_ngram_jaccard_join, op5_mix_sources, op6_quality_rules)}
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op4_ngram_jaccard_join, op5_mix_sources, op6_quality_rules, op10_exact_topk)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -53,4 +53,12 @@ y AS (SELECT x.*, whole + CASE WHEN rest <= 0 THEN 0 WHEN rest >= bs THEN 1 WHEN
 SELECT doc_id, size, s AS source_size, target, (size * times)::BIGINT AS taken, times::BIGINT AS times FROM y
 """
 
-SQL: dict[str, str] = {"op5_mix_sources": _MIX, "op6_quality_rules": _QUALITY}
+_TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v AS q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+"""
+
+SQL: dict[str, str] = {"op5_mix_sources": _MIX, "op6_quality_rules": _QUALITY, "op10_exact_topk": _TOPK}
