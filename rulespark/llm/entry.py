@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespark.llm import bpe, chat, jaccard, mixing, quality, records, topk
+from rulespark.llm import bpe, chat, jaccard, language, mixing, quality, records, topk
 from rulespark.llm.common import table
 
 
@@ -52,16 +52,30 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(table(spark, sf_dir, "documents"))
+    found = language.identify(table(spark, sf_dir, "pages"), model, id_col="page_id", text_col="html", markup=True, url_col="url")
+    return found.drop("row_key", "row_size")
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op3_chat_windows, op4_ngram_jaccard_join, op5_mix_sources, op6_quality_rules, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op3_chat_windows, op4_ngram_jaccard_join, op5_mix_sources, op6_quality_rules, op9_language_id, op10_exact_topk)}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    import corpus_pipeline  # noqa: F401  it belongs to the subpackage: without it there are no queries
+
+    return {"pipeline": pipeline, **QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
