@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespark.llm import bpe, chat, jaccard, language, mixing, quality, records, topk
+from rulespark.llm import bpe, chat, jaccard, language, mixing, quality, records, topk, toxicity
 from rulespark.llm.common import table
 
 
@@ -52,6 +52,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(table(spark, sf_dir, "documents"))
     found = language.identify(table(spark, sf_dir, "pages"), model, id_col="page_id", text_col="html", markup=True, url_col="url")
@@ -63,7 +70,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op3_chat_windows, op4_ngram_jaccard_join, op5_mix_sources, op6_quality_rules, op9_language_id, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op3_chat_windows, op4_ngram_jaccard_join, op5_mix_sources, op6_quality_rules, op8_toxicity, op9_language_id, op10_exact_topk)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
