@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulespark.llm import bpe, chat, jaccard, language, mixing, quality, records, topk, toxicity
+from rulespark.llm import bpe, chat, jaccard, language, mixing, ngram_lm, quality, records, topk, toxicity
 from rulespark.llm.common import table
 
 
@@ -52,6 +52,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = ngram_lm.held_out(F.col("doc_id"))
+    found = ngram_lm.score(docs, ngram_lm.fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -70,7 +77,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op3_chat_windows, op4_ngram_jaccard_join, op5_mix_sources, op6_quality_rules, op8_toxicity, op9_language_id, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_binary_records, op3_chat_windows, op4_ngram_jaccard_join, op5_mix_sources, op6_quality_rules, op7_lm_scoring, op8_toxicity, op9_language_id, op10_exact_topk)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
