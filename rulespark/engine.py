@@ -305,7 +305,7 @@ class Engine:
     def matches(self, rule: Rule, everything: bool = False) -> list[DataFrame]:
         """DataFrames that together hold the matches that are new since the rule last ran."""
         tables, last = [self.tables[a.table] for a in rule.atoms], 0 if everything or rule.naive or not self.seminaive else rule.last_run
-        distinct = any(a[0] == "set" and (t := self.tables[a[1]]).kind == "custom" and merge_kind(t.merge) in ("sum", "fold") for a in rule.head)
+        distinct = any(a[0] == "set" and (t := self.tables[a[1]]).kind == "custom" and merge_kind(t.merge) in ("sum", "fold", "const") for a in rule.head)
         if not tables:
             return [plan(rule, [], self.evaluate, self.one_row)] if not rule.last_run or everything else []
         out = []
@@ -456,7 +456,7 @@ class Engine:
         else:
             const = literal(t.merge) if kind == "const" else None
             both = {"min": F.least, "max": F.greatest, "old": lambda a, b: a, "new": lambda a, b: b, "sum": lambda a, b: a + b, "and": lambda a, b: a & b, "or": lambda a, b: a | b, "set-union": lambda a, b: F.sort_array(F.array_union(a, b)), "const": lambda a, b: const}[kind]
-            merged, terms = F.when(was.isNull(), F.when((F.col("least") != F.col("most")), const).otherwise(one) if kind == "const" else one).otherwise(F.when(was.eqNullSafe(one) & F.lit(kind not in ("sum",)), was).otherwise(both(was, one))), None
+            merged, terms = F.when(was.isNull(), F.when(F.col("times") > 1, const).otherwise(one) if kind == "const" else one).otherwise(F.when(was.eqNullSafe(one) & F.lit(kind not in ("sum", "const")), was).otherwise(both(was, one))), None
         done = found.withColumn("out", merged)
         if terms is not None:
             done, _ = settle(done.withColumn("terms", terms))

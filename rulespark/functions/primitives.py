@@ -80,9 +80,17 @@ def _python(f: Callable, out: str) -> Callable[..., Column]:
     def make(*xs: Column) -> Column:
         import pandas as pd
 
-        def run(*columns: pd.Series) -> pd.Series:
-            return pd.Series([None if any(v is None for v in row) else f(*row) for row in zip(*columns, strict=True)], dtype=object if out == "string" else None)
+        def each(*columns: pd.Series) -> pd.Series:
+            return pd.Series([None if any(v is None for v in row) else f(*row) for row in zip(*columns, strict=True)], dtype=object)
 
+        def one(a: pd.Series) -> pd.Series:
+            return each(a)
+
+        def two(a: pd.Series, b: pd.Series) -> pd.Series:
+            return each(a, b)
+
+        run = one if len(xs) == 1 else two
+        run.__annotations__ = dict.fromkeys(run.__annotations__, pd.Series)
         return F.pandas_udf(run, out)(*xs)
 
     return make
