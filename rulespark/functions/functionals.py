@@ -62,15 +62,22 @@ def apply_functional(engine, e, args: list[Column], builder) -> Column:
             out = F.when(f["name"] == name, value).otherwise(out)
         return out
 
+    def maker(name: str, sorts: tuple[Sort, ...]):
+        given = F.from_json(f["args"], ", ".join(f"a{i} {x.ddl}" for i, x in enumerate(sorts))) if sorts else None
+
+        def row(x: Column) -> Column:
+            every = [*[given[f"a{i}"] for i in range(len(sorts))], x]
+            return F.struct(*[a.alias(f"c{i}") for i, a in enumerate(every)], F.xxhash64(F.lit(name), *every).alias("out"))
+
+        return row
+
     def stage(values: Column) -> None:
         """Stage the terms that constructors make of the elements of an array of arguments."""
         for name, sorts in targets:
             t = engine.tables.get(name)
             if t is None or t.kind != "constructor":
                 continue
-            given = F.from_json(f["args"], ", ".join(f"a{i} {x.ddl}" for i, x in enumerate(sorts))) if sorts else None
-            own = lambda x, given=given, sorts=sorts: [*[given[f"a{i}"] for i in range(len(sorts))], x]
-            rows = F.transform(values, lambda x, own=own, name=name: F.struct(*[a.alias(f"c{i}") for i, a in enumerate(own(x))], F.xxhash64(F.lit(name), *own(x)).alias("out")))
+            rows = F.transform(values, maker(name, sorts))
             builder.out.append(("terms", name, builder.keep(F.when(f["name"] == name, rows))))
 
     if e.name == "unstable-app":
