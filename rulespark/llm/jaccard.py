@@ -40,9 +40,10 @@ def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int,
     best = None
     for rows in range(1, most + 1):
         meet = threshold**rows
-        bands = 1 if meet >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
-        if rows * bands <= most:
-            best = rows, bands
+        bands = 1 if meet >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-meet))
+        if rows * bands > most:
+            break  # longer bands need more of them
+        best = rows, bands
     if best is None:
         raise ValueError("no banding has this recall with so few hashes")
     return best

@@ -6,7 +6,8 @@ the candidate tile. Lists are then merged in a tree: each level merges up to `fa
 Memory is bounded by the tile sizes, whatever the number of queries; no task holds all queries.
 
 Components are floor(scale * x), so products are integers. They are exact: as products of doubles as long as no sum can
-reach 2^53 (a bound is checked for each tile), with Python's integers beyond; scores beyond 64 bits are clipped to them.
+reach 2^53 (a bound is checked for each tile), with Python's integers beyond; scores beyond 64 bits are
+clipped to them, and rank as clipped.
 
 Ties go to smaller ids. Defined results: rows with a null id take no part, nor do vectors that are null, empty, or hold
 null or non-finite components. A query is compared with vectors of its own length. Candidates that have the query's id
@@ -55,10 +56,11 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
     exact = [[int(x) for x in v] for v in vectors.tolist()]
     for i, q in enumerate(queries.tolist()):
         q = [int(x) for x in q]
-        own = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in enumerate(exact) if ids[j] != query_ids[i])[:k]
+        clipped = (max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v, strict=True)))) for v in exact)
+        own = sorted((-s, j) for j, s in enumerate(clipped) if ids[j] != query_ids[i])[:k]
         rows += [i] * len(own)
         cols += [j for _, j in own]
-        scores += [max(-(2**63), min(2**63 - 1, -s)) for s, _ in own]
+        scores += [-s for s, _ in own]
     return np.array(rows, np.int64), ids[np.array(cols, np.int64)], np.array(scores, np.int64)
 
 
