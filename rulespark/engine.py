@@ -28,7 +28,7 @@ from rulespark.functions.functionals import apply_functional, target_sorts
 from rulespark.functions.primitives import Prim, containers, multiset_sum, scalars
 from rulespark.functions.sorts import BASE_SORTS, BOOL, F64, I64, KINDS, STRING, UNIT, Sort
 from rulespark.operators.components import components
-from rulespark.operators.storage import cut, settle
+from rulespark.operators.storage import LOCAL_ROWS, cut, settle
 from rulespark.operators.tables import BROADCAST_ROWS, Part, Table
 from rulespark.plans.rules import Rule, flatten, literal, plan
 from rulespark.plans.syntax import Call, Command, Lit, Parser, ProgramError, Var
@@ -144,7 +144,7 @@ class Builder:
         """Stage what the actions said. Matches that several of them use are computed once."""
         df = self.df
         if len(self.out) > 1:
-            df, n = settle(df)
+            df, n = self.engine.settled(df)
             if not n:
                 return
         for o in self.out:
@@ -186,6 +186,7 @@ class Engine:
         self.ts = 1
         self.moved_ids: DataFrame | None = None  # (id, leader)
         self.stack: list[tuple] = []
+        self.largest = 0  # rows of the largest table that this iteration's rules read
         self.pending = Pending(self)
         self.one_row = spark.range(1)
         for p in scalars():
@@ -291,6 +292,10 @@ class Engine:
 
     # ---- matching
 
+    def settled(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """settle(), straight to a written table if the rules of this iteration read large tables."""
+        return settle(df, expect_large=self.largest > 5 * LOCAL_ROWS)
+
     def evaluate(self, call: Typed, args: list[Column]) -> Column:
         if call.name in FUNCTIONALS:
             return apply_functional(self, call, args, None)
@@ -321,6 +326,7 @@ class Engine:
                 versions.append((self.visible(u, df, rule.subsumed), size))
             if any(size == 0 for _, size in versions):
                 continue
+            self.largest = max(self.largest, *(size for _, size in versions))
             out.append(plan(rule, versions, self.evaluate, self.one_row, distinct))
         if last == 0 and any(t.n == 0 for t in tables):
             return []
@@ -346,7 +352,7 @@ class Engine:
         """One iteration; whether it changed anything."""
         self.flush()
         began, stage = time.time(), Stage()
-        now = self.ts
+        now, self.largest = self.ts, 0
         for rule in self.rules_of(ruleset):
             for df in self.matches(rule):
                 rule.matches += 1
@@ -385,6 +391,7 @@ class Engine:
         if edges:
             changed |= self.rebuild(edges, now)
         self.ts += 1
+        self.largest = 0
         return changed
 
     def insert(self, t: Table, rows: DataFrame, now: int) -> tuple[bool, list[DataFrame]]:
@@ -397,7 +404,7 @@ class Engine:
             new = rows.dropDuplicates(t.keys) if t.keys else rows.limit(1)
             if t.n:
                 new = new.join(old.select(*t.keys), t.keys, "left_anti") if t.keys else new.limit(0)
-            df, n = settle(stamp(new).select(*old.columns), expect_large=bool(t.parts) and t.parts[-1].n > 20_000)
+            df, n = self.settled(stamp(new).select(*old.columns))
             t.add(df, n, now)
             return n > 0, []
         if t.kind == "relation":
@@ -405,16 +412,16 @@ class Engine:
             new = rows.groupBy(*t.keys).agg(*agg)
             if t.n:
                 new = new.join(old.select(*t.keys), t.keys, "left_anti")
-            df, n = settle(stamp(new).select(*old.columns))
+            df, n = self.settled(stamp(new).select(*old.columns))
             t.add(df, n, now)
             return n > 0, []
         if t.kind == "constructor":
             found = rows.groupBy(*t.keys).agg(F.min("out").alias("out"), F.max("out").alias("most"), *agg)
             found = self.with_old(t, found, old)
-            found, n = settle(found)
+            found, n = self.settled(found)
             if not n:
                 return False, []
-            new, m = settle(stamp(found.where(F.col("old").isNull())).select(*old.columns))
+            new, m = self.settled(stamp(found.where(F.col("old").isNull())).select(*old.columns))
             t.add(new, m, now)
             edges = []
             if m < n:
@@ -447,7 +454,7 @@ class Engine:
         found = self.with_old(t, found, old)
         was, one = F.col("old"), F.col("one")
         if kind == "none":
-            found, n = settle(found)
+            found, n = self.settled(found)
             if not found.where("least <> most OR (old IS NOT NULL AND NOT old <=> one)").isEmpty():
                 raise ProgramError(f"illegal merge: different values for {t.name}")
             merged, terms = one, None
@@ -464,7 +471,7 @@ class Engine:
             _, more = self.insert(self.tables[t.merge.name], made, now)
             edges += more
         changed = done.where(was.isNull() | ~F.col("out").eqNullSafe(was)).withColumn("ts", F.lit(now).cast("long")).withColumn("sub", F.lit(False))
-        df, n = settle(changed.select(*old.columns, was.isNotNull().alias("again")))
+        df, n = self.settled(changed.select(*old.columns, was.isNotNull().alias("again")))
         if n:
             again = df.where("again").select(*t.keys)
             if t.n and (not t.keys or not again.isEmpty()):
@@ -913,6 +920,7 @@ class Pending:
         if not self.rows and not self.unions:
             return
         rows, unions, spark = self.rows, self.unions, self.engine.spark
+        self.engine.largest = 0
         self.rows, self.unions = {}, []
         stage = Stage()
         for f, own in rows.items():
