@@ -331,14 +331,14 @@ def rewrite_commute(d: Data) -> DataFrame:
 
 @query("SELECT p_brand AS b, min(CASE WHEN p_size < 10 THEN 2 WHEN p_size < 30 THEN 5 ELSE 9 END + 2)::BIGINT AS cost FROM part GROUP BY 1")
 def extract_cost(d: Data) -> DataFrame:
-    """The cost of each brand's cheapest term: a constructor by the size of one of its parts, over the part's type."""
+    """The cost of each brand's cheapest term: a constructor by the size of one of its parts, over the part's brand and type."""
     from rulespark.operators.extract import costs
 
     d.bind("part", "part", "p_partkey p_brand p_type p_size")
     d.run(
         "(datatype V (T String) (Cheap V :cost 2) (Mid V :cost 5) (Dear V :cost 9)) (constructor Brand (String) V :unextractable)"
-        "(rule ((part p b t n) (< n 10)) ((union (Brand b) (Cheap (T t))))) (rule ((part p b t n) (>= n 10) (< n 30)) ((union (Brand b) (Mid (T t)))))"
-        "(rule ((part p b t n) (>= n 30)) ((union (Brand b) (Dear (T t))))) (run 1)"
+        "(rule ((part p b t n) (< n 10)) ((union (Brand b) (Cheap (T (+ b t)))))) (rule ((part p b t n) (>= n 10) (< n 30)) ((union (Brand b) (Mid (T (+ b t))))))"
+        "(rule ((part p b t n) (>= n 30)) ((union (Brand b) (Dear (T (+ b t)))))) (run 1)"
     )
     best = costs(d.engine).select(F.col("id").alias("v"), "cost")
     return d.ask("v b", "(= v (Brand b))").join(best, "v").select("b", "cost")

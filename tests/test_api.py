@@ -77,11 +77,11 @@ def test_stream(spark, tmp_path):
 def test_cli(spark, tmp_path, capsys):
     from rulespark.cli import main
 
-    (tmp_path / "p.egg").write_text("(datatype T (A i64)) (A 1) (print-size)")
-    assert main([str(tmp_path / "p.egg"), "--to-json"]) == 0
-    assert "(A 1)" in capsys.readouterr().out and (tmp_path / "p.egg.json").exists()
-    (tmp_path / "bad.egg").write_text("(check (= 1 2))")
-    assert main([str(tmp_path / "bad.egg")]) == 1
+    (tmp_path / "p.rules").write_text("(datatype T (A i64)) (A 1) (print-size)")
+    assert main([str(tmp_path / "p.rules"), "--to-json"]) == 0
+    assert "(A 1)" in capsys.readouterr().out and (tmp_path / "p.rules.json").exists()
+    (tmp_path / "bad.rules").write_text("(check (= 1 2))")
+    assert main([str(tmp_path / "bad.rules")]) == 1
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(100, 101), (7, 7), (7, 7)]])
