@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespark.llm.common import mix
+from rulespark.llm.common import mix, pieces
 
 #: White space of the splitting patterns, as a character class.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -87,7 +87,7 @@ class Ranks:
         for i in np.flatnonzero(sizes > LONG):
             out[i] = self._by_heap(found[i])
         for width in np.unique(widths[(sizes > 0) & (sizes <= LONG)]):
-            rows, step = np.flatnonzero((widths == width) & (sizes > 0)), max(1, 2_000_000 // int(width))
+            rows, step = np.flatnonzero((widths == width) & (sizes > 0)), max(1, 500_000 // int(width))
             for start in range(0, len(rows), step):
                 self._by_matrix([found[i] for i in rows[start : start + step]], rows[start : start + step], sizes, int(width), out)
         return out
@@ -153,7 +153,7 @@ class Segments(dict):
     PAIR = re.compile(f"[{SPACE}]{{2}}")
     COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], limit: int = 600_000):
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         super().__init__()
         self.resolve, self.limit, self.held, self.new = resolve, limit, [], []
 
@@ -204,40 +204,30 @@ def texts_of(column: pa.Array) -> list[str]:
         return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
-#: In each Python worker: encoders and rank files by their parameters.
+#: In each Python worker: what one operator keeps between batches, by its parameters.
 _HELD: dict = {}
+_OWNER: list[str] = [""]
 
 
-def held(key: tuple, make: Callable):
+def held(owner: str, key: tuple, make: Callable):
+    """make(), kept for this key. A worker that goes on to another operator lets go of what the last one kept."""
+    if _OWNER[0] != owner:
+        _HELD.clear()
+        _OWNER[0] = owner
     if key not in _HELD:
         _HELD[key] = make()
     return _HELD[key]
 
 
-def chunks(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
-    """The texts in runs of at most so many characters, but one text at least."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > most:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and ids, a binary of little-endian unsigned 32-bit ids, for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held(("encode", ranks_path, pattern), lambda: Segments(split_resolver(held(("ranks", ranks_path), lambda: Ranks(ranks_path)), pattern)))
+        encoder = held("bpe", ("encode", ranks_path, pattern), lambda: Segments(split_resolver(held("bpe", ("ranks", ranks_path), lambda: Ranks(ranks_path)), pattern)))
         for batch in batches:
-            start = 0
-            for run in chunks(texts_of(batch.column(1))):
-                ids = pa.array(encoder.encode(run), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(run)), ids], names=[id_col, "ids"])
-                start += len(run)
+            for start, end in pieces(batch, "_text", 2_000_000):
+                ids = pa.array(encoder.encode(texts_of(batch.column(1).slice(start, end - start))), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), ids], names=[id_col, "ids"])
 
     lean = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("_text"))
     return lean.mapInArrow(run, lean.select(id_col, F.lit(b"").alias("ids")).schema)
@@ -249,7 +239,7 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
     at = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = held(("ranks", ranks_path), lambda: Ranks(ranks_path)).tokens.__getitem__
+        tokens = held("bpe", ("ranks", ranks_path), lambda: Ranks(ranks_path)).tokens.__getitem__
         for batch in batches:
             step = max(1, len(batch) * 4_000_000 // max(1, batch.column(at).nbytes))
             for start in range(0, len(batch), step):

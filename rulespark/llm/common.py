@@ -92,7 +92,7 @@ class WordRows(dict):
     Held by one Python worker; emptied once it has more than limit words, so memory is bounded.
     """
 
-    def __init__(self, fill: Callable[[list], np.ndarray], limit: int = 400_000):
+    def __init__(self, fill: Callable[[list], np.ndarray], limit: int = 250_000):
         super().__init__()
         self.fill, self.limit, self.unseen, self.data = fill, limit, [], None
 

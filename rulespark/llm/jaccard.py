@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, rows: int, b
     """id, n_grams, two checksums of the set, and the band hashes, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = held(("hash",), lambda: WordRows(hash_words))
+        hashes = held("jaccard", ("hash",), lambda: WordRows(hash_words))
         names = ["id", "n_grams", "set_a", "set_b", "bands"]
         for batch in batches:
             for start, end, found in _words(batch, 1):
@@ -222,7 +222,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     names = ["rep", "root", "blocks", "block", "copies", "bands"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = held(("hash",), lambda: WordRows(hash_words))
+        hashes = held("jaccard", ("hash",), lambda: WordRows(hash_words))
         for batch in batches:
             for start, end, words in _words(batch, 0):
                 grams = gram_sets(words, n, hashes)

@@ -136,7 +136,7 @@ def _lower(found: list[bytes]) -> np.ndarray:
 
 def tokens(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of the texts, each with its start and end marks; and each text's number of tokens without starts."""
-    words = held(("lower",), lambda: WordRows(_lower))
+    words = held("ngrams", ("lower",), lambda: WordRows(_lower))
     found = [(t or b"").split() for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
     hashes = words.values([w for f in found for w in f]) if any(found) else np.empty(0, np.uint64)
@@ -254,7 +254,7 @@ class Model:
     n_distinct: int
 
     def _file(self, kind: str, shard: int, part: str, dtype) -> np.ndarray:
-        return held((self.folder, kind, shard, part), lambda: map_file(f"{self.folder}/{kind}-{shard:06d}.{part}", dtype))
+        return held("ngrams", (self.folder, kind, shard, part), lambda: map_file(f"{self.folder}/{kind}-{shard:06d}.{part}", dtype))
 
     def _places(self, kind: str, keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, rows, places) of the keys that a shard has."""

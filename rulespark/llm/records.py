@@ -34,8 +34,8 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from rulespark.llm.bpe import SPACE, Segments, chunks, held, texts_of
-from rulespark.llm.common import shared_folder, write_file
+from rulespark.llm.bpe import SPACE, Segments, held, texts_of
+from rulespark.llm.common import pieces, shared_folder, write_file
 
 MAGIC, VERSION = b"RSPREC", 1
 MANIFEST = "shard int, file string, n_records long, n_tokens long"
@@ -111,22 +111,21 @@ def write_records(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = held(("records", tokenizer_path, width), lambda: Segments(hf_resolver(tokenizer_path, width)))
+        encoder = held("records", ("records", tokenizer_path, width), lambda: Segments(hf_resolver(tokenizer_path, width)))
         index: list[np.ndarray] = []
         state = [8, 0, 0]  # offset, tokens, records
 
         def parts() -> Iterator[bytes]:
             yield struct.pack("<6sBB", MAGIC, VERSION, width)
             for batch in batches:
-                start = 0
-                for run in chunks(texts_of(batch.column(1))):
-                    ids = batch.column(0).slice(start, len(run)).to_pylist()
-                    start += len(run)
-                    framed = [frame(b"".join((struct.pack("<qB", i or 0, i is None), x, end))) for i, x in zip(ids, encoder.encode(run), strict=True)]
+                for first_row, last_row in pieces(batch, "_text", 2_000_000):
+                    ids = batch.column(0).slice(first_row, last_row - first_row).to_pylist()
+                    texts = texts_of(batch.column(1).slice(first_row, last_row - first_row))
+                    framed = [frame(b"".join((struct.pack("<qB", i or 0, i is None), x, end))) for i, x in zip(ids, encoder.encode(texts), strict=True)]
                     sizes = np.fromiter(map(len, framed), np.int64, len(framed))
                     tokens = (sizes - 25) // width
                     index.append(np.stack([state[0] + np.cumsum(sizes) - sizes, tokens, state[1] + np.cumsum(tokens) - tokens], 1))
-                    state[:] = [state[0] + int(sizes.sum()), state[1] + int(tokens.sum()), state[2] + len(run)]
+                    state[:] = [state[0] + int(sizes.sum()), state[1] + int(tokens.sum()), state[2] + len(ids)]
                     yield b"".join(framed)
 
         name = f"{folder}/shard-{shard:06d}"
