@@ -197,7 +197,7 @@ def _verify(per_mille: int, pairs: bool):
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, marked for a broadcast if a count shows that it has so many narrow rows at most."""
+    """df, marked for a broadcast if a count shows that it has so many rows at most; a few bytes each, or fewer rows."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
@@ -218,7 +218,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     placed = groups.join(blocks, "root").select("rep", "root", "blocks", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"))
     # A rep's text can stand in several rows; any will do, so the class's set is matched to one of them by its checksums.
     placed = placed.join(classes, "rep").select("rep", "root", "blocks", "block", "copies", "bands", *own)
-    found = docs.select(docs[id_col].cast("long").alias("rep"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text")).join(small(cut(placed, "jaccard-placed")), "rep")
+    found = docs.select(docs[id_col].cast("long").alias("rep"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text")).join(small(cut(placed, "jaccard-placed"), 100_000), "rep")
     names = ["rep", "root", "blocks", "block", "copies", "bands"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
