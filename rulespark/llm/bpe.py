@@ -170,10 +170,13 @@ class Segments(dict):
             found[0] = f"\0{found[0]}"
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.held, self.new = [], []
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > self.limit:
-            self.clear()
-            self.held = []
+            self.forget()
         number = self.__getitem__
         at = [None if "\0" in t else list(map(number, self.keys_of(t))) for t in texts]
         if self.new:
@@ -196,6 +199,21 @@ def split_resolver(ranks: Ranks, pattern: str) -> Callable[[list[str]], list[byt
     return resolve
 
 
+def tidy(run: Callable) -> Callable:
+    """run, for mapInArrow; at the end of a task the worker, which Spark keeps, lets go of caches and freed memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for x in _HELD.values():
+                if hasattr(x, "forget"):
+                    x.forget()
+            pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of a string column; null is empty."""
     try:
@@ -230,7 +248,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), ids], names=[id_col, "ids"])
 
     lean = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("_text"))
-    return lean.mapInArrow(run, lean.select(id_col, F.lit(b"").alias("ids")).schema)
+    return lean.mapInArrow(tidy(run), lean.select(id_col, F.lit(b"").alias("ids")).schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -248,4 +266,4 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.binary())], names=[*kept, out_col])
 
     lean = encoded.select(*kept)
-    return lean.mapInArrow(run, lean.withColumn(out_col, F.lit(b"")).schema)
+    return lean.mapInArrow(tidy(run), lean.withColumn(out_col, F.lit(b"")).schema)

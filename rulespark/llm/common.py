@@ -101,10 +101,13 @@ class WordRows(dict):
         self.unseen.append(word)
         return row
 
+    def forget(self) -> None:
+        self.clear()
+        self.unseen, self.data = [], None
+
     def rows(self, found: list) -> np.ndarray:
         if len(self) > self.limit:
-            self.clear()
-            self.data = None
+            self.forget()
         at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
         if self.unseen:
             new = self.fill(self.unseen)
@@ -138,7 +141,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with at most so many bytes of text, but one row at least."""
     sizes = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: len(batch) + 1].astype(np.int64) if len(batch) else np.zeros(1, np.int64)
     start = 0

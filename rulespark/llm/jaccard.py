@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulespark.llm.bpe import held
+from rulespark.llm.bpe import held, tidy
 from rulespark.llm.common import WordRows, cut, hash_words, mix, pieces
 from rulespark.operators.components import components, union_find
 
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, rows: int, b
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(signed, pa.list_(pa.int64()))], names=names)
 
     lean = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
-    return lean.mapInArrow(run, "id long, n_grams long, set_a long, set_b long, bands array<bigint>")
+    return lean.mapInArrow(tidy(run), "id long, n_grams long, set_a long, set_b long, bands array<bigint>")
 
 
 def similar_pairs(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray | None, per_mille: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,11 +231,11 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
                 right = pa.array([s == t for s, t in zip(sums, part.column(7).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(1, 7)], pa.array([s.tobytes() for s in grams], pa.binary())], names=[*names, "grams"]).filter(right)
 
-    found = found.select("text", *names, "set_a").mapInArrow(sets, "rep long, root long, blocks int, block int, copies long, bands array<bigint>, grams binary")
+    found = found.select("text", *names, "set_a").mapInArrow(tidy(sets), "rep long, root long, blocks int, block int, copies long, bands array<bigint>, grams binary")
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = [F.col("root"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
     found = found.select(*key, "rep", "block", "copies", "bands", "grams").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    verified = found.mapInArrow(_verify(round(threshold * 1000), pairs), "a long, b long, similarity double" if pairs else "rep long, links long, root long")
+    verified = found.mapInArrow(tidy(_verify(round(threshold * 1000), pairs)), "a long, b long, similarity double" if pairs else "rep long, links long, root long")
     return signed, classes, verified
 
 

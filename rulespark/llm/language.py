@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulespark.llm.bpe import held
+from rulespark.llm.bpe import held, tidy
 from rulespark.llm.common import WordRows, cut, mix, pieces
 
 UNKNOWN = "und"
@@ -135,7 +135,7 @@ def _evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, likely, pa.array(sizes)], names=[*names, "likely", "n_words"])
 
     fields = ", ".join(f"`{f.name}` {'int' if f.name == 'declared' else f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    out = rows.select(*names, "text").mapInArrow(run, f"{fields}, likely array<double>, n_words long")
+    out = rows.select(*names, "text").mapInArrow(tidy(run), f"{fields}, likely array<double>, n_words long")
     weights = F.transform("likely", lambda x: F.exp(x))
     return out.withColumn("p", F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespark.llm.bpe import held
+from rulespark.llm.bpe import held, tidy
 from rulespark.llm.common import WordRows, hash_words, map_file, mix, pieces, shared_folder, write_file
 
 #: Hashes of the start and end marks, which no word has but by chance.
@@ -157,24 +157,30 @@ def _grams(flat: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
     return np.stack([flat[at - order + 1 + i] for i in range(order)], 1)
 
 
-def _count(order: int, shards: int, run: int):
+def _count(n_order: int, shards: int, run: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[str, int, bytes]]:
             some, n = [], 0
 
             def flush() -> Iterator[tuple[str, int, bytes]]:
                 grams = np.concatenate(some)
-                ones = np.ones(len(grams), np.uint64)
-                _, own, times, _ = summed(grams, ones, ones)
-                yield from _by_shard(f"g{order}", gram_shards(own, shards), lambda k: pack_grams(own[k], times[k], times[k]))
+                some.clear()
+                keys = gram_keys(grams)
+                order = np.argsort(keys)
+                keys = keys[order]
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                del keys
+                own, times = grams[order[first]], np.diff(first, append=len(order)).astype(np.uint64)
+                del grams, order, first
+                yield from _by_shard(f"g{n_order}", gram_shards(own, shards), lambda k: pack_grams(own[k], times[k], times[k]))
 
             for batch in batches:
                 for start, end in pieces(batch, "text"):
-                    some.append(_grams(*tokens(batch.column(0).slice(start, end - start).to_pylist(), order), order))
+                    some.append(_grams(*tokens(batch.column(0).slice(start, end - start).to_pylist(), n_order), n_order))
                     n += len(some[-1])
                     if n > run:
                         yield from flush()
-                        some, n = [], 0
+                        n = 0
             if some:
                 yield from flush()
 
@@ -326,9 +332,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", order: int = 2, shards: int
     spark = docs.sparkSession
     shards, folder = shards or int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark, "ngrams")
     lean = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
-    blocks = lean.mapInArrow(_count(order, shards, run), BLOCKS)
+    blocks = lean.mapInArrow(tidy(_count(order, shards, run)), BLOCKS)
     for level in range(order, 0, -1):
-        blocks = blocks.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_sum_level(level, shards, folder), BLOCKS)
+        blocks = blocks.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(tidy(_sum_level(level, shards, folder)), BLOCKS)
     sums: dict[int, np.ndarray] = {}
     for r in blocks.collect():  # a line for each level and shard
         sums[r.shard] = sums.get(r.shard, 0) + unpack(bytes(r.block))[0].astype(np.float64)
@@ -355,7 +361,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     lean = docs.select(docs[id_col].alias(id_col), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("_text"))
     one = F.lit(1).cast("long")
-    scored = lean.mapInArrow(run, lean.select(id_col, one.alias("n_tokens"), one.alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema)
+    scored = lean.mapInArrow(tidy(run), lean.select(id_col, one.alias("n_tokens"), one.alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema)
     return scored.select(id_col, "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

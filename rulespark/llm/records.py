@@ -34,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from rulespark.llm.bpe import SPACE, Segments, held, texts_of
+from rulespark.llm.bpe import SPACE, Segments, held, texts_of, tidy
 from rulespark.llm.common import pieces, shared_folder, write_file
 
 MAGIC, VERSION = b"RSPREC", 1
@@ -148,7 +148,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col:
     lean = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"))
     key = F.xxhash64("_text")
     sorted_ = lean.repartitionByRange(n, "_id", key).sortWithinPartitions("_id", key)
-    found = sorted(sorted_.mapInArrow(run, MANIFEST).collect())
+    found = sorted(sorted_.mapInArrow(tidy(run), MANIFEST).collect())
     starts = accumulate([r.n_tokens for r in found], initial=0)
     lines = [{"shard": r.shard, "file": r.file.rpartition("/")[2], "n_records": r.n_records, "n_tokens": r.n_tokens, "start": s} for r, s in zip(found, starts, strict=False)]
     write_file(f"{folder}/manifest.json", iter([json.dumps(lines).encode()]))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulespark.llm.bpe import held
+from rulespark.llm.bpe import held, tidy
 from rulespark.llm.common import WordRows, pieces
 
 LENGTH, STRIDE, HIDDEN, INPUTS = 32, 16, 8, 4
@@ -322,4 +322,4 @@ def score(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(model.score(z))], names=[id_col, "score"])
 
     lean = docs.select(docs[id_col].alias(id_col), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("_text"))
-    return lean.mapInArrow(run, lean.select(id_col, F.lit(0.0).alias("score")).schema)
+    return lean.mapInArrow(tidy(run), lean.select(id_col, F.lit(0.0).alias("score")).schema)
