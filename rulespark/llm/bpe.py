@@ -16,6 +16,8 @@ UTF-8 are read as U+FFFD. Null ids decode to no bytes.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import heapq
 import re
 from collections.abc import Callable, Iterator
@@ -23,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.llm.common import mix, pieces
@@ -87,7 +89,7 @@ class Ranks:
         for i in np.flatnonzero(sizes > LONG):
             out[i] = self._by_heap(found[i])
         for width in np.unique(widths[(sizes > 0) & (sizes <= LONG)]):
-            rows, step = np.flatnonzero((widths == width) & (sizes > 0)), max(1, 500_000 // int(width))
+            rows, step = np.flatnonzero((widths == width) & (sizes > 0)), max(1, 250_000 // int(width))
             for start in range(0, len(rows), step):
                 self._by_matrix([found[i] for i in rows[start : start + step]], rows[start : start + step], sizes, int(width), out)
         return out
@@ -153,7 +155,7 @@ class Segments(dict):
     PAIR = re.compile(f"[{SPACE}]{{2}}")
     COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], limit: int = 300_000):
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], limit: int = 120_000):
         super().__init__()
         self.resolve, self.limit, self.held, self.new = resolve, limit, [], []
 
@@ -210,10 +212,19 @@ def tidy(run: Callable) -> Callable:
                 if hasattr(x, "forget"):
                     x.forget()
             pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library can give memory back
+                ctypes.CDLL(None).malloc_trim(0)
 
     return tidied
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let the session's Arrow batches have so many bytes at most: both sides of a Python worker hold some at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > most:
+        spark.conf.set(key, f"{most}b")
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of a string column; null is empty."""
     try:
@@ -243,10 +254,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held("bpe", ("encode", ranks_path, pattern), lambda: Segments(split_resolver(held("bpe", ("ranks", ranks_path), lambda: Ranks(ranks_path)), pattern)))
         for batch in batches:
-            for start, end in pieces(batch, "_text", 2_000_000):
+            for start, end in pieces(batch, "_text", 1_000_000):
                 ids = pa.array(encoder.encode(texts_of(batch.column(1).slice(start, end - start))), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), ids], names=[id_col, "ids"])
 
+    bounded_batches(docs.sparkSession)
     lean = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("_text"))
     return lean.mapInArrow(tidy(run), lean.select(id_col, F.lit(b"").alias("ids")).schema)
 
