@@ -264,6 +264,20 @@ def same_generation(d: Data) -> DataFrame:
     return d.rows("sg", "a b")
 
 
+@query("SELECT 'nation' AS a_is, a.n_nationkey::BIGINT AS a, 'nation' AS b_is, b.n_nationkey::BIGINT AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey <> b.n_nationkey UNION SELECT 'customer', c_custkey, 'supplier', s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
+def same_generation_whole(d: Data) -> DataFrame:
+    """As same_generation, over all customers and suppliers, which a tag tells apart."""
+    d.bind("nation", "nation", "n_nationkey n_regionkey").bind("customer", "customer", "c_custkey c_nationkey").bind("supplier", "supplier", "s_suppkey s_nationkey")
+    d.run(
+        "(relation parent (String i64 String i64)) (relation sg (String i64 String i64)) (ruleset start)"
+        '(rule ((nation k r)) ((parent "nation" k "region" r)) :ruleset start)'
+        '(rule ((customer c n)) ((parent "customer" c "nation" n)) :ruleset start) (rule ((supplier s n)) ((parent "supplier" s "nation" n)) :ruleset start)'
+        '(rule ((parent "nation" x k p) (parent "nation" y k p) (!= x y)) ((sg "nation" x "nation" y))) (rule ((parent "customer" x k p) (parent "supplier" y k p)) ((sg "customer" x "supplier" y)))'
+        "(run start 1) (run-schedule (saturate (run)))"
+    )
+    return d.rows("sg", "a_is a b_is b")
+
+
 @query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity >= 49), r AS (SELECT 0::BIGINT AS n, s, 0::BIGINT AS k FROM (SELECT min(s) AS s FROM e) UNION SELECT 1 - n, CASE WHEN n = 0 THEN e.p ELSE e.s END, k + 1 FROM r JOIN e ON (n = 0 AND e.s = r.s OR n = 1 AND e.p = r.s) WHERE k < 4) SELECT n, s AS v, min(k) AS hops FROM r GROUP BY ALL")
 def shortest_hops(d: Data) -> DataFrame:
     edges = d.table("lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
