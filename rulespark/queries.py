@@ -322,6 +322,15 @@ def components_chain(d: Data) -> DataFrame:
     return d.ask("x root", "(= v (N x)) (= root (root v))")
 
 
+@query()
+def components_chain_whole(d: Data) -> DataFrame:
+    """The component of each part and supplier, over all lines, named by its least part."""
+    d.bind("e", "lineitem", "l_partkey l_suppkey", unique=False)
+    d.run("(datatype V (P i64) (S i64)) (function root (V) i64 :merge (min old new)) (ruleset name) (rule ((e p s)) ((union (P p) (S s)))) (rule ((= v (P i))) ((set (root v) i)) :ruleset name) (run 1) (run name 1)")
+    parts, suppliers = (d.ask("x root", f"(= v ({kind} x)) (= root (root v))").select(F.lit(name).alias("x_is"), "x", "root") for kind, name in (("P", "part"), ("S", "supplier")))
+    return parts.unionAll(suppliers)
+
+
 @query("SELECT count(DISTINCT n_regionkey)::BIGINT AS classes, count(*)::BIGINT AS terms FROM nation")
 def congruence(d: Data) -> DataFrame:
     d.bind("nation", "nation", "n_nationkey n_regionkey")

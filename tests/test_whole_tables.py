@@ -27,3 +27,23 @@ def test_same_generation_whole(spark, tables):
     want = [("nation", a, "nation", b) for a, r in nations for b, s in nations if a != b and r == s]
     want += [("customer", c, "supplier", s) for c, n in customers for s, m in suppliers if n == m]
     assert ask(spark, "same_generation_whole", folder, "a_is a b_is b") == sorted(want)
+
+
+LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double"
+#: Two components, one a chain of 12 hops; few lines have a high quantity and discount.
+CHAIN = [(k, (k + 1) // 2 + 1, k // 2 + 1, 50.0 if k % 5 == 0 else 3.0, 0.1 if k == 5 else 0.0) for k in range(12)] + [(90, 40, 41, 1.0, 0.0), (91, 44, 41, 1.0, 0.0), (92, 44, 41, 2.0, 0.0)]
+
+
+def test_components_chain_whole(spark, tables):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for _, p, s, *_ in CHAIN:
+        a, b = sorted((find(("part", p)), find(("supplier", s))))
+        root[b] = a  # parts come first, so the least part names its component
+    want = sorted((*x, find(x)[1]) for x in list(root))
+    assert ask(spark, "components_chain_whole", tables(lineitem=(LINES, CHAIN)), "x_is x root") == want
