@@ -352,6 +352,14 @@ def rewrite_commute(d: Data) -> DataFrame:
     return d.ask("v a b", "(= v (Pair2 a b)) (= v (Pair2 b a)) (<= a b)").select("a", "b").distinct()
 
 
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem")
+def rewrite_commute_whole(d: Data) -> DataFrame:
+    """As rewrite_commute, over all lines."""
+    d.bind("e", "lineitem", "l_partkey l_suppkey", unique=False)
+    d.run("(datatype V (Pair2 i64 i64)) (rewrite (Pair2 a b) (Pair2 b a)) (rule ((e p s)) ((Pair2 p s))) (run 2)")
+    return d.ask("v a b", "(= v (Pair2 a b)) (= v (Pair2 b a)) (<= a b)").select("a", "b").distinct()
+
+
 @query("SELECT p_brand AS b, min(CASE WHEN p_size < 10 THEN 2 WHEN p_size < 30 THEN 5 ELSE 9 END + 2)::BIGINT AS cost FROM part GROUP BY 1")
 def extract_cost(d: Data) -> DataFrame:
     """The cost of each brand's cheapest term: a constructor by the size of one of its parts, over the part's brand and type."""

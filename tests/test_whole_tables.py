@@ -47,3 +47,7 @@ def test_components_chain_whole(spark, tables):
         root[b] = a  # parts come first, so the least part names its component
     want = sorted((*x, find(x)[1]) for x in list(root))
     assert ask(spark, "components_chain_whole", tables(lineitem=(LINES, CHAIN)), "x_is x root") == want
+
+
+def test_rewrite_commute_whole(spark, tables):
+    assert ask(spark, "rewrite_commute_whole", tables(lineitem=(LINES, CHAIN)), "a b") == sorted({tuple(sorted((p, s))) for _, p, s, *_ in CHAIN})
