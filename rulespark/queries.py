@@ -290,6 +290,19 @@ def shortest_hops(d: Data) -> DataFrame:
     return d.rows("hops", "n v hops")
 
 
+@query()
+def shortest_hops_whole(d: Data) -> DataFrame:
+    """Hops from the least supplier to all parts (n = 1) and suppliers (n = 0) that it reaches over all lines."""
+    d.bind("e", "lineitem", "l_partkey l_suppkey", unique=False)
+    first = d.table("lineitem").agg(F.min("l_suppkey")).head()[0]
+    start = "" if first is None else f"(set (hops 0 {first}) 0)"
+    d.run(
+        f"(function hops (i64 i64) i64 :merge (min old new)) {start}"
+        "(rule ((= k (hops 0 s)) (e p s)) ((set (hops 1 p) (+ k 1)))) (rule ((= k (hops 1 p)) (e p s)) ((set (hops 0 s) (+ k 1)))) (run-schedule (saturate (run)))"
+    )
+    return d.rows("hops", "n v hops")
+
+
 @query("SELECT r_name AS r, count(DISTINCT c_custkey)::BIGINT AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY 1")
 def stratified_two_rulesets(d: Data) -> DataFrame:
     d.bind("region", "region", "r_regionkey r_name").bind("nation", "nation", "n_nationkey n_regionkey").bind("customer", "customer", "c_custkey c_nationkey").bind("orders", "orders", "o_orderkey o_custkey o_orderstatus")

@@ -51,3 +51,14 @@ def test_components_chain_whole(spark, tables):
 
 def test_rewrite_commute_whole(spark, tables):
     assert ask(spark, "rewrite_commute_whole", tables(lineitem=(LINES, CHAIN)), "a b") == sorted({tuple(sorted((p, s))) for _, p, s, *_ in CHAIN})
+
+
+def test_shortest_hops_whole(spark, tables):
+    hops, edge = {(0, 1): 0}, [(0, 1)]
+    for n, v in edge:  # breadth first; grows as it goes
+        for _, p, s, *_ in CHAIN:
+            if (s if n == 0 else p) == v and (to := (1 - n, p if n == 0 else s)) not in hops:
+                hops[to] = hops[n, v] + 1
+                edge.append(to)
+    assert max(hops.values()) > 4
+    assert ask(spark, "shortest_hops_whole", tables(lineitem=(LINES, CHAIN)), "n v hops") == sorted((*x, k) for x, k in hops.items())
