@@ -448,6 +448,13 @@ def prim_bigint(d: Data) -> DataFrame:
     return d.ask("o p m q", "(line o p) (= b (bigint p)) (= m1 (* (* (* (bigint o) b) b) (bigint 1000003))) (= m (to-string m1)) (= q1 (/ (* (bigint o) (bigint 7)) b)) (= q (to-string q1))")
 
 
+@query("SELECT DISTINCT l_orderkey AS o, l_partkey AS p, (l_orderkey::HUGEINT * l_partkey * l_partkey * 1000003)::VARCHAR AS m, ((l_orderkey * 7)::HUGEINT // l_partkey)::VARCHAR AS q FROM lineitem WHERE l_partkey <> 0")
+def prim_bigint_whole(d: Data) -> DataFrame:
+    """As prim_bigint, over all lines."""
+    d.bind("line", "lineitem", "l_orderkey l_partkey", unique=False)
+    return d.ask("o p m q", "(line o p) (= b (bigint p)) (= m1 (* (* (* (bigint o) b) b) (bigint 1000003))) (= m (to-string m1)) (= q1 (/ (* (bigint o) (bigint 7)) b)) (= q (to-string q1))")
+
+
 @query("SELECT n_nationkey::BIGINT AS k, n_regionkey::BIGINT AS r, ((n_nationkey + 1) // gcd(n_nationkey + 1, n_regionkey + 1))::VARCHAR AS n FROM nation")
 def prim_bigrat(d: Data) -> DataFrame:
     return d.bind("nation", "nation", "n_nationkey n_regionkey").ask("k r n", "(nation k r) (= q (bigrat (bigint (+ k 1)) (bigint (+ r 1)))) (= n (to-string (numer q)))")

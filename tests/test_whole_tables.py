@@ -62,3 +62,9 @@ def test_shortest_hops_whole(spark, tables):
                 edge.append(to)
     assert max(hops.values()) > 4
     assert ask(spark, "shortest_hops_whole", tables(lineitem=(LINES, CHAIN)), "n v hops") == sorted((*x, k) for x, k in hops.items())
+
+
+def test_prim_bigint_whole(spark, tables):
+    rows = [(1, 7, 1, 49.0, 0.0), (2, 3, 1, 48.0, 0.0), (2, 3, 2, 1.0, 0.0), (9_000_000_000, 8_000_000_000, 1, 1.0, 0.0), (5, 0, 1, 50.0, 0.0)]
+    want = {(o, p, str(o * p * p * 1000003), str(o * 7 // p)) for o, p, *_ in rows if p}
+    assert ask(spark, "prim_bigint_whole", tables(lineitem=(LINES, rows)), "o p m q") == sorted(want)
