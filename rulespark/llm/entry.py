@@ -55,7 +55,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = ngram_lm.held_out(F.col("doc_id"))
-    found = ngram_lm.score(docs, ngram_lm.fit(docs.where(~out)))
+    found = ngram_lm.score(docs, ngram_lm.fit(docs.where(~out), order=3))
     return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
