@@ -13,8 +13,9 @@
 
 A text of fewer than n words has one n-gram, all its words. Defined results: a null or empty text, or one without words,
 has no n-grams and links with nothing, nor does a row with a null id (its class_id is null); rows that repeat an id and
-text are copies of each other; rows that share an id with different texts count as one document in groups. An empty table
-gives an empty result. Columns other than the two named are ignored.
+text are copies of each other; rows that share an id with different sets are documents of their own. An empty table gives
+an empty result. Columns other than the two named are ignored. Classes are named by 64-bit hashes of their sets inside the
+join, and by least ids in results.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm.bpe import held, tidy
@@ -89,12 +90,18 @@ def _words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[
         yield start, end, [(x or b"").split() for x in batch.column(column).slice(start, end - start).to_pylist()]
 
 
+def text_key(docs: DataFrame, text_col: str) -> Column:
+    """A hash of a row's text; 0 without words."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return F.when(text.rlike(r"[^ \t-\r]"), F.xxhash64(text)).otherwise(0)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, rows: int, bands: int, seed: int) -> DataFrame:
-    """id, n_grams, two checksums of the set, and the band hashes, of each row."""
+    """id, n_grams, two checksums of the set, the band hashes, and a hash of the text, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = held("jaccard", ("hash",), lambda: WordRows(hash_words))
-        names = ["id", "n_grams", "set_a", "set_b", "bands"]
+        names = ["id", "n_grams", "set_a", "set_b", "bands", "text_key"]
         for batch in batches:
             for start, end, found in _words(batch, 1):
                 sets = gram_sets(found, n, hashes)
@@ -102,10 +109,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, rows: int, b
                     a = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                     b = [int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x9E3779B97F4A7C15))).astype(np.int64)) if len(s) else 0 for s in sets]
                 signed = [band_hashes(s, rows, bands, seed) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(signed, pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(signed, pa.list_(pa.int64())), batch.column(2).slice(start, end - start)], names=names)
 
-    lean = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
-    return lean.mapInArrow(tidy(run), "id long, n_grams long, set_a long, set_b long, bands array<bigint>")
+    lean = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"), text_key(docs, text_col).alias("text_key"))
+    return lean.mapInArrow(tidy(run), "id long, n_grams long, set_a long, set_b long, bands array<bigint>, text_key long")
 
 
 def similar_pairs(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray | None, per_mille: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,8 +213,8 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     rows, bands = choose_bands(threshold, recall)
     signed = cut(signatures(docs, id_col, text_col, n, rows, bands, seed), "jaccard-signatures")
     own = ["n_grams", "set_a", "set_b"]
-    classes = signed.where("n_grams > 0 AND id IS NOT NULL").groupBy(*own).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    classes = cut(classes, "jaccard-classes")
+    classes = signed.where("n_grams > 0 AND id IS NOT NULL").groupBy(*own).agg(F.min(F.struct("id", "text_key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = cut(classes.select(*own, F.xxhash64(*own).alias("rep"), F.col("first.id").alias("least"), F.col("first.text_key").alias("text_key"), "copies", "bands"), "jaccard-classes")
 
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     centers = members.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).where("center <> other").drop("other")
@@ -216,9 +223,9 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
 
     blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     placed = groups.join(blocks, "root").select("rep", "root", "blocks", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"))
-    # A rep's text can stand in several rows; any will do, so the class's set is matched to one of them by its checksums.
-    placed = placed.join(classes, "rep").select("rep", "root", "blocks", "block", "copies", "bands", *own)
-    found = docs.select(docs[id_col].cast("long").alias("rep"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text")).join(small(cut(placed, "jaccard-placed"), 100_000), "rep")
+    # Rows of a class's least id can have other texts; the class's set is matched to one that has it by its checksum.
+    placed = placed.join(classes, "rep").select("least", "rep", "root", "blocks", "block", "copies", "bands", "set_a")
+    found = docs.select(docs[id_col].cast("long").alias("least"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text")).join(small(cut(placed, "jaccard-placed"), 100_000), "least")
     names = ["rep", "root", "blocks", "block", "copies", "bands"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,39 +247,60 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
 
 
 def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, seed: int = 0) -> DataFrame:
-    """a < b and similarity of every two classes of equal sets, each named by its least id, that are similar enough."""
-    return _join(docs, id_col, text_col, n, threshold, recall, block, seed, True)[2].distinct()
+    """a < b and similarity of every two classes of equal sets, each named by its least id, that are similar enough.
 
+    a = b, if the least id is the same.
+    """
+    _, classes, verified = _join(docs, id_col, text_col, n, threshold, recall, block, seed, True)
+    found = verified.distinct()
+    for c in ("a", "b"):
+        found = found.join(classes.select(F.col("rep").alias(c), F.col("least").alias(f"{c}_id")), c)
+    return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, seed: int = 0) -> DataFrame:
-    """id, class_id, copy_of and n_links of each row.
 
-    class_id: least id of the documents that links connect with this one; copy_of: least id of those with the same set;
-    n_links: number of other documents that are similar enough, copies included.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, seed: int = 0) -> DataFrame:
+    """Signatures with their class, its number of links, and the first document of its group (by id, class and text)."""
     signed, classes, verified = _join(docs, id_col, text_col, n, threshold, recall, block, seed, False)
     verified = cut(verified, "jaccard-verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(verified.select("rep", "root"), lambda x: cut(x, "jaccard-groups")).select(F.col("id").alias("rep"), F.col("root").alias("group"))
-    named = classes.select("n_grams", "set_a", "set_b", "rep", "copies").join(links, "rep", "left").join(groups, "rep", "left")
-    out = signed.select("id", "n_grams", "set_a", "set_b").join(named, ["n_grams", "set_a", "set_b"], "left")
+    own = F.struct("least", "rep", "text_key")
+    groups = cut(groups.join(classes.select("rep", own.alias("own")), "rep"), "jaccard-members")
+    firsts = cut(groups.groupBy("group").agg(F.min("own").alias("first")), "jaccard-firsts")
+    groups = groups.join(small(firsts, 100_000), "group").select("rep", "first")
+    named = classes.join(links, "rep", "left").join(groups, "rep", "left").select("n_grams", "set_a", "set_b", "least", "copies", "links", F.coalesce("first", own).alias("first"))
+    return signed.select("id", "n_grams", "set_a", "set_b", "text_key").join(named, ["n_grams", "set_a", "set_b"], "left")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, class_id, copy_of and n_links of each row; options as of link_classes.
+
+    class_id: least id of the documents that links connect with this one; copy_of: least id of those with the same set;
+    n_links: number of other documents that are similar enough, copies included.
+    """
     known = F.col("id").isNotNull()
-    return out.select(
+    return _grouped(docs, id_col, text_col, **options).select(
         F.col("id").alias(id_col),
-        F.when(known, F.coalesce("group", "rep", "id")).alias("class_id"),
-        F.when(known, F.coalesce("rep", "id")).alias("copy_of"),
+        F.when(known, F.coalesce("first.least", "id")).alias("class_id"),
+        F.when(known, F.coalesce("least", "id")).alias("copy_of"),
         F.when(known, F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs with one document of each group, the one of least id; rows that repeat it go as well."""
-    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).cast("long").alias("_id"), "class_id"), "jaccard-kept")
-    gone = small(found.where("_id <> class_id").select("_id").distinct())
-    kept = docs.withColumn("_id", F.col(id_col).cast("long")).join(gone, "_id", "left_anti")
-    again = found.where("_id = class_id").groupBy("_id").count().where("count > 1").select("_id")
+    """The rows of docs with one document of each group, the one of least id; rows that repeat it go as well.
+
+    Rows are told apart by id and text, so one that only shares its id with another stays.
+    """
+    key = ["_id", "_key"]
+    found = _grouped(docs, id_col, text_col, **options).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "first")
+    first = F.col("first").isNull() | (F.col("first.least") == F.col("_id")) & (F.col("first.text_key") == F.col("_key"))
+    found = cut(found.where("_id IS NOT NULL").select(*key, first.alias("_first")), "jaccard-kept")
+    gone = small(found.where("NOT _first").select(*key).distinct())
+    kept = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", text_key(docs, text_col)).join(gone, key, "left_anti")
+    again = found.where("_first").groupBy(*key).count().where("count > 1").select(*key)
     if not again.isEmpty():
         again = cut(again, "jaccard-again")
-        once = kept.join(small(again), "_id").dropDuplicates(["_id"])
-        kept = kept.join(small(again), "_id", "left_anti").unionByName(once)
+        once = kept.join(small(again), key).dropDuplicates(key)
+        kept = kept.join(small(again), key, "left_anti").unionByName(once)
     return kept.select(*[kept[c] for c in docs.columns])
