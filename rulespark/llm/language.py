@@ -80,21 +80,22 @@ def buckets(found: list[bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield (mix(total[whole] + np.uint64(k << 40)) % np.uint64(n)).astype(np.int64), word[: len(total)][whole]
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 300, most_languages: int = 64, n_buckets: int = 1 << 15, smooth: float = 0.05) -> TextModel:
-    """A model of the most_languages most frequent languages, from most_docs texts of each at most.
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 300, n_buckets: int = 1 << 15, smooth: float = 0.05) -> TextModel:
+    """A model of all labelled languages, from the texts of most_docs ids of each at most.
 
-    The sample is those texts whose ids have the least hashes, so it is the same in each run; nulls are left out.
+    The sample is those texts whose ids have the least hashes, so it is the same in each run; nulls are left out. Of an
+    id's texts in a language the least counts.
     """
     rows = labelled.select(labelled[id_col].cast("string").alias("id"), labelled[lang_col].cast("string").alias("lang"), labelled[text_col].cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counted = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()
-    languages = tuple(sorted(r.lang for r in counted if r.lang != UNKNOWN))
+    languages = tuple(sorted(r.lang for r in rows.select("lang").distinct().collect() if r.lang != UNKNOWN))
+    number = {x: i for i, x in enumerate(languages)}
     key = F.xxhash64("id")
-    some = rows.where(F.col("lang").isin(*languages)).select("id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(key, "id")).alias("n")).where(F.col("n") <= most_docs)
-    texts = rows.join(F.broadcast(some.select("id", "lang").distinct()), ["id", "lang"]).limit(2 * most_docs * max(1, len(languages)))  # ids may repeat
+    some = rows.where(F.col("lang") != UNKNOWN).select("id", "lang", F.dense_rank().over(Window.partitionBy("lang").orderBy(key, "id")).alias("n")).where(F.col("n") <= most_docs)
+    texts = rows.join(F.broadcast(some.select("id", "lang").distinct()), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # ids may repeat
     counts = np.zeros((n_buckets, len(languages)))
     for r in texts.toLocalIterator():
         for bucket, _ in buckets(r.text.encode().split(), n_buckets):
-            counts[:, languages.index(r.lang)] += np.bincount(bucket, minlength=n_buckets)
+            counts[:, number[r.lang]] += np.bincount(bucket, minlength=n_buckets)
     table = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * n_buckets))
     return TextModel(languages, np.hstack([table, np.full((n_buckets, 1), -math.log(n_buckets))]).astype(np.float32))
 

@@ -1,8 +1,6 @@
 """The registered operators do the whole job: on small tables where a cut would show."""
 
-import pytest
-
-from rulespark.llm import entry, jaccard
+from rulespark.llm import entry, jaccard, language
 
 
 def test_lm_scoring_looks_further_back_than_one_word(spark, tmp_path):
@@ -26,3 +24,18 @@ def test_texts_that_share_an_id_are_compared_apart(spark, base_text):
     assert sorted((r.a, r.b) for r in jaccard.link_classes(df).collect()) == [(1, 10), (1, 11), (3, 5)]
     kept = sorted((r.doc_id, r.text.strip()) for r in jaccard.keep_one(df).collect())
     assert kept == sorted([(1, a), (1, b), (2, d), (0, c), (3, e), (5, "")])
+
+
+def test_all_labelled_languages_are_fitted(spark):
+    """70 languages of words of their own; the last has the fewest texts, and one id stands on many rows."""
+    word = lambda x, i: "".join(chr(97 + (x * 7 + i * 5 + k * (x % 11 + 1)) % 26) for k in range(7))
+    name = lambda x: f"{chr(97 + x // 26)}{chr(97 + x % 26)}"
+    rows = [(100 * x + i, " ".join(word(x, i + k) for k in range(8)), name(x)) for x in range(70) for i in range(1 if x == 69 else 2)]
+    rows += [(0, rows[0][1], name(0))] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, most_docs=2)
+    assert model.languages == tuple(name(x) for x in range(70))
+    once = language.fit(df.distinct(), most_docs=2)
+    assert (model.table == once.table).all()
+    plain = model.table[:, :-1].max(axis=0) - model.table[:, :-1].min(axis=0)
+    assert plain.min() > 0  # each language has counts
