@@ -5,13 +5,16 @@ A turn is written as
     ### role:
     text</turn>
 
-where backslash, ``#``, ``<`` and ``:`` of the role, and backslash, ``###`` and ``</turn>`` of the text, get a backslash before
-them (every backslash does); so a mark without one is the template's, and parsing gives each role and text back.
+where a backslash goes before every backslash, ``#``, ``<``, ``/`` and ``:`` of a role, and in a text before every backslash,
+every ``#`` of a run of three or more, and the slash of every ``</turn>``. So the strings ``###`` and ``</turn>`` stand nowhere
+but where the template puts them, and parsing gives each role and text back.
 
-A conversation is cut at turns into windows. Prefix sums of the turns' tokens choose each window: the system turn (if the
-first turn is one), then as many of the last turns before as fit the history budget, then as many new turns as fit the
-rest, one at least; a turn that alone is over the budget gets a window of its own, whole. Each turn is new in exactly one
-window. The loss mask has the spans of the texts of new assistant turns: repeated ones are masked.
+A conversation is cut at turns into windows by prefix sums of its turns' tokens, searched by bisection: the system turn (if
+the first turn is one), then as many of the last turns before as fit the history budget, then as many new turns as fit the
+rest, one at least. Each turn is new in exactly one window. What is repeated gives way to the first new turn: history
+first, then the system turn. So a window is over the budget only if it is a single turn that is, whole; a system turn over
+the budget is such a window, and no other has it. The loss mask has the spans of the texts of new assistant turns: repeated
+ones are masked.
 
 Rows are dealt by conversation and sorted by turn, then stream by: a task holds the turns of a window and its history,
 never a conversation.
@@ -25,24 +28,24 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ESCAPED_TEXT = re.compile(r"\\|###|</turn>")
-ESCAPED_ROLE = re.compile(r"[\\#<:]")
-UNESCAPED = re.compile(r"\\(\\|#|<|:)")
-TURN = re.compile(r"### ((?:[^\\:]|\\.)*):\n((?:[^\\<]|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
+ESCAPED_TEXT = re.compile(r"\\|#{3,}|(?<=<)/(?=turn>)")
+ESCAPED_ROLE = re.compile(r"[\\#</:]")
+UNESCAPED = re.compile(r"\\([\\#</:])")
+TURN = re.compile(r"### ((?:[^\\:]|\\.)*+):\n((?:[^<]|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 END = "</turn>\n"
 
 
 def escape(text: str, pattern: re.Pattern = ESCAPED_TEXT) -> str:
-    return pattern.sub(lambda m: f"\\{m[0]}", text)
+    return pattern.sub(lambda m: "\\#" * len(m[0]) if m[0][0] == "#" else f"\\{m[0]}", text)
 
 
 def unescape(text: str) -> str:
@@ -63,12 +66,11 @@ class Turn:
 
 @dataclass
 class Window:
-    """repeated: turns at the start that are new in no or an earlier window. spans: [start, end) in code points."""
+    """repeated: turns at the start that are new in an earlier window. spans: [start, end) in code points."""
 
     number: int
     repeated: int
-    turns: list[Turn] = field(default_factory=list)
-    new_tokens: int = 0
+    turns: list[Turn]
 
     def row(self) -> tuple[str, list[tuple[int, int]], int, int]:
         out, spans, at = [], [], 0
@@ -86,39 +88,36 @@ def count_words(text: str) -> int:
 
 
 def windows(turns: Iterator[tuple[str | None, str | None]], budget: int, history: int, count: Callable[[str], int] = count_words) -> Iterator[Window]:
-    """The windows of the turns (role, text) of one conversation."""
+    """The windows of the turns (role, text) of one conversation. A turn counts as one token at least."""
+    held: list[Turn] = []  # turns that a window can still hold
+    before = [0]  # tokens of the conversation before each of them, and after the last
+    at, first, number = 0, 0, 0  # the next new turn, the first that history may repeat, the window
     system: Turn | None = None
-    last: deque[Turn] = deque()  # the turns before the next that fit the history budget
-    held, window = 0, None
-
-    def remember(turn: Turn) -> None:
-        nonlocal held
-        last.append(turn)
-        held += turn.tokens
-        while last and held > history:
-            held -= last.popleft().tokens
-
-    for number, (role, text) in enumerate(turns):
-        head, body = f"### {escape(role or '', ESCAPED_ROLE)}:\n", escape(text or "")
-        turn = Turn(role or "", head, body, count(f"{head}{body}{END}"))
-        if window is None:
-            window = Window(0, 0)
-        elif window.new_tokens + turn.tokens > budget - sum(t.tokens for t in window.turns[: window.repeated]):
-            yield window
-            start = [] if system is None else [system]
-            room = budget - turn.tokens - sum(t.tokens for t in start)
-            again = list(last)
-            while again and sum(t.tokens for t in again) > max(0, room):  # history gives way to a new turn
-                again.pop(0)
-            window = Window(window.number + 1, len(start) + len(again), [*start, *again])
-        window.turns.append(turn)
-        window.new_tokens += turn.tokens
-        if number == 0 and turn.role == "system":
-            system = turn
-        else:
-            remember(turn)
-    if window is not None:
-        yield window
+
+    def read() -> bool:
+        role, text = next(turns, (None, None))
+        if role is None and text is None:
+            return False
+        head, body = f"### {escape(role, ESCAPED_ROLE)}:\n", escape(text)
+        held.append(Turn(role, head, body, max(1, count(f"{head}{body}{END}"))))
+        before.append(before[-1] + held[-1].tokens)
+        return True
+
+    turns = ((role or "", text or "") for role, text in turns)
+    while at < len(held) or read():
+        new = held[at].tokens
+        if number == 0 and held[at].role == "system":
+            system, first = held[at], 1
+        start = [system] if system is not None and number > 0 and system.tokens + new <= budget else []
+        room = budget - sum(t.tokens for t in start)
+        again = bisect_left(before, before[at] - max(0, min(history, room - new)), min(first, at), at)
+        while before[-1] - before[again] <= room and read():
+            pass
+        end = max(at + 1, bisect_right(before, before[again] + room) - 1)
+        yield Window(number, len(start) + at - again, [*start, *held[again:end]])
+        gone = bisect_left(before, before[end] - history, 0, end)
+        del held[:gone], before[:gone]
+        at, first, number = end - gone, max(0, first - gone), number + 1
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -168,11 +167,12 @@ def format_chat(conversations: DataFrame, *, budget: int = 512, history: int = 9
     return dealt.mapInArrow(run, "conv long, window int, text string, spans array<struct<start:int,end:int>>, n_turns int, n_repeated int").withColumnRenamed("conv", conv_col)
 
 
-def digest_chat(formatted: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
+def digest_chat(formatted: DataFrame, *, conv_col: str = "conv_id", dealt: bool = False) -> DataFrame:
     """What the windows of each conversation say, read back from their texts and spans, in one pass over sorted rows.
 
     conv_col, n_turns, turns_sha256 (of role, newline, text, newline of each turn), loss_chars and loss_sha256 (of the
-    texts under the loss mask), and formatted_chars.
+    texts under the loss mask), and formatted_chars. dealt: the windows of a conversation follow each other in one
+    partition, as in what format_chat returns, so no shuffle is needed.
     """
     schema = pa.schema([("conv", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
@@ -198,5 +198,5 @@ def digest_chat(formatted: DataFrame, *, conv_col: str = "conv_id") -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     lean = formatted.select(formatted[conv_col].alias("conv"), "window", "text", "spans", "n_repeated")
-    dealt = lean.repartition("conv").sortWithinPartitions("conv", "window")
-    return dealt.mapInArrow(run, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("conv", conv_col)
+    lean = lean if dealt else lean.repartition("conv").sortWithinPartitions("conv", "window")
+    return lean.mapInArrow(run, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("conv", conv_col)
