@@ -3,13 +3,13 @@
 1. Each text becomes its set of n-grams, as 64-bit hashes, and a MinHash signature; rows and bands of the signature are
    chosen so that two sets at the threshold meet in some band with at least the target recall.
 2. Documents with equal sets form a class; a class goes on as one row, however many copies it has.
-3. A shuffle on band hashes links each class with the least of its bucket (a star, not all pairs). Components of these
-   links hold all candidate pairs.
-4. A component is cut into blocks of bounded size, by hash; for each pair of blocks one task gets the full n-gram sets.
-   It verifies all pairs that share a band, by intersections of the sets, and returns what it adds to each document's
-   number of links, and a spanning forest of the links instead of the links. So rows grow with documents times blocks of
-   their component; no group is ever held whole, and no link is lost but by the recall of banding.
-5. Components of the forests are the groups.
+3. A shuffle on band hashes finds the buckets with two classes or more. Of buckets that hold the same classes one stays.
+4. Each class's full n-gram set goes to its buckets. A bucket beyond a bound of classes or n-grams is cut into blocks by
+   hash, and each pair of its blocks is a group of its own, so no bucket is ever held whole. A group's task verifies its
+   pairs on the full sets; a pair that meets in several buckets is verified in the first of them only. It returns what it
+   adds to each class's number of links, and a spanning forest of the links instead of the links. So no link is lost but
+   by the recall of banding, and only classes that share a band ever meet.
+5. Components of the forests are the groups of documents.
 
 A text of fewer than n words has one n-gram, all its words. Defined results: a null or empty text, or one without words,
 has no n-grams and links with nothing, nor does a row with a null id (its class_id is null); rows that repeat an id and
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespark.llm.bpe import held, tidy
+from rulespark.llm.bpe import bounded_batches, held, tidy
 from rulespark.llm.common import WordRows, cut, hash_words, mix, pieces
 from rulespark.operators.components import components, union_find
 
@@ -115,21 +115,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, rows: int, b
     return lean.mapInArrow(tidy(run), "id long, n_grams long, set_a long, set_b long, bands array<bigint>, text_key long")
 
 
-def similar_pairs(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray | None, per_mille: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of similar pairs and their intersections: pairs in left, or of left and right.
+def similar_pairs(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray | None, per_mille: int, band: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of similar pairs and their intersections: pairs in left, or of left and right, which all share a band.
 
-    A pair counts if it shares a band and per_mille of its union is in the intersection.
+    A pair counts if per_mille of its union is in the intersection, and if it shares no band before; 0 is no band.
     """
     own = right is None
     right = left if right is None else right
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    near = np.zeros((len(left), len(right)), bool)
-    for t in range(bands.shape[1]):
-        near |= bands[left, t][:, None] == bands[right, t][None, :]
     small, large = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
-    near &= small * 1000 >= large * per_mille
+    near = small * 1000 >= large * per_mille
     if own:
         near = np.triu(near, 1)
+    for t in range(band):
+        near &= (bands[left, t][:, None] != bands[right, t][None, :]) | (bands[left, t] == 0)[:, None]
     x, y = np.nonzero(near)
     if not len(x):
         return x, y, x
@@ -157,26 +156,25 @@ def similar_pairs(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, r
 
 
 def _verify(per_mille: int, pairs: bool):
-    """For mapInArrow over rows sorted by (root, i, j): links of each group of equal keys."""
+    """For mapInArrow over rows sorted by (bucket, i, j): links of each group of equal keys."""
 
-    def group(key: tuple, rows: list[dict]) -> Iterator[tuple]:
-        rows = list({r["rep"]: r for r in rows if r["bands"]}.values()) if len({r["rep"] for r in rows}) < len(rows) else rows
-        sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
-        bands, side = np.array([r["bands"] for r in rows], np.int64), np.array([r["block"] for r in rows])
+    def group(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        rows = list({r[0]: r for r in rows}.values())  # (rep, block, copies, bands, grams), once for each class
+        reps, copies, side = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 1))
         left, right = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2]) if key[1] != key[2] else None
-        if not len(left) or right is not None and not len(right):
+        if len(rows) < 2 or not len(left) or right is not None and not len(right):
             return
-        x, y, both = similar_pairs(sets, bands, left, right, per_mille)
+        sets, bands = [np.frombuffer(r[4], np.uint64) for r in rows], np.stack([np.frombuffer(r[3], np.int64) for r in rows])
+        x, y, both = similar_pairs(sets, bands, left, right, per_mille, int(np.flatnonzero(bands[0] == key[0])[0]))
         a, b = left[x], (left if right is None else right)[y]
         if pairs:
             for i, j, n in zip(a.tolist(), b.tolist(), both.tolist(), strict=True):
-                yield min(rows[i]["rep"], rows[j]["rep"]), max(rows[i]["rep"], rows[j]["rep"]), n / (len(sets[i]) + len(sets[j]) - n)
+                yield int(min(reps[i], reps[j])), int(max(reps[i], reps[j])), n / (len(sets[i]) + len(sets[j]) - n)
             return
-        copies = np.array([r["copies"] for r in rows], np.int64)
         links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
-        roots = union_find(list({(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)}))
+        roots = union_find(list(zip(a.tolist(), b.tolist(), strict=True)))
         for i in np.flatnonzero(links).tolist():
-            yield rows[i]["rep"], int(links[i]), rows[roots[i]]["rep"]
+            yield int(reps[i]), int(links[i]), int(reps[roots[i]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())] if pairs else [("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -186,8 +184,9 @@ def _verify(per_mille: int, pairs: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if (own := (row["root"], row["i"], row["j"])) != key:
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            for own, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
+                if own != key:
                     if rows:
                         out += group(key, rows)
                     key, rows = own, []
@@ -208,59 +207,63 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, block: int, seed: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, block: int, block_grams: int, seed: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures with their class, classes, and what the verified pairs say."""
     rows, bands = choose_bands(threshold, recall)
+    bounded_batches(docs.sparkSession)
     signed = cut(signatures(docs, id_col, text_col, n, rows, bands, seed), "jaccard-signatures")
     own = ["n_grams", "set_a", "set_b"]
     classes = signed.where("n_grams > 0 AND id IS NOT NULL").groupBy(*own).agg(F.min(F.struct("id", "text_key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     classes = cut(classes.select(*own, F.xxhash64(*own).alias("rep"), F.col("first.id").alias("least"), F.col("first.text_key").alias("text_key"), "copies", "bands"), "jaccard-classes")
 
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
-    centers = members.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).where("center <> other").drop("other")
-    stars = members.join(centers, "bucket").where("rep <> center").select("rep", "center").distinct()
-    groups = cut(components(stars, lambda x: cut(x, "jaccard-links")).select(F.col("id").alias("rep"), "root"), "jaccard-candidates")
-
-    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "root").select("rep", "root", "blocks", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"))
+    members = classes.select("rep", "n_grams", F.posexplode("bands").alias("band", "bucket"))
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"), F.min("band").alias("band"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("sum")).where("n > 1")
+    buckets = buckets.groupBy("n", "grams", "low", "high", "sum").agg(F.min(F.struct("band", "bucket")).alias("b"))
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("grams") / F.lit(block_grams)))).cast("int")
+    buckets = cut(buckets.select("b.bucket", blocks.alias("blocks")), "jaccard-buckets")
+    placed = members.join(small(buckets), "bucket").groupBy("rep").agg(F.collect_list(F.struct("band", "bucket", "blocks")).alias("own"))
     # Rows of a class's least id can have other texts; the class's set is matched to one that has it by its checksum.
-    placed = placed.join(classes, "rep").select("least", "rep", "root", "blocks", "block", "copies", "bands", "set_a")
-    found = docs.select(docs[id_col].cast("long").alias("least"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text")).join(small(cut(placed, "jaccard-placed"), 100_000), "least")
-    names = ["rep", "root", "blocks", "block", "copies", "bands"]
+    placed = cut(placed.join(classes, "rep").select("least", "rep", "copies", "own", "set_a"), "jaccard-placed")
+    found = docs.select(docs[id_col].cast("long").alias("least"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text")).join(small(placed, 50_000), "least")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = held("jaccard", ("hash",), lambda: WordRows(hash_words))
         for batch in batches:
             for start, end, words in _words(batch, 0):
+                part = batch.slice(start, end - start)
                 grams = gram_sets(words, n, hashes)
                 sums = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in grams]
-                part = batch.slice(start, end - start)
-                right = pa.array([s == t for s, t in zip(sums, part.column(7).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(1, 7)], pa.array([s.tobytes() for s in grams], pa.binary())], names=[*names, "grams"]).filter(right)
-
-    found = found.select("text", *names, "set_a").mapInArrow(tidy(sets), "rep long, root long, blocks int, block int, copies long, bands array<bigint>, grams binary")
-    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = [F.col("root"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    found = found.select(*key, "rep", "block", "copies", "bands", "grams").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+                right = pa.array([s == t for s, t in zip(sums, part.column(4).to_pylist(), strict=True)], pa.bool_())
+                shared = np.zeros((len(part), bands), np.int64)
+                for k, kept in enumerate(part.column(3).to_pylist()):
+                    for b in kept:
+                        shared[k, b["band"]] = b["bucket"]
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in (1, 2, 3)], pa.array([x.tobytes() for x in shared], pa.binary()), pa.array([s.tobytes() for s in grams], pa.binary())], names=["rep", "copies", "own", "bands", "grams"]).filter(right)
+
+    found = found.select("text", "rep", "copies", "own", "set_a").mapInArrow(tidy(sets), "rep long, copies long, own array<struct<band:int,bucket:long,blocks:int>>, bands binary, grams binary")
+    found = found.withColumn("own", F.explode("own")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), own.blocks) as int)"))
+    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own.blocks") - 1)))
+    key = [F.col("own.bucket").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    found = found.select(*key, "rep", "block", "copies", "bands", "grams").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     verified = found.mapInArrow(tidy(_verify(round(threshold * 1000), pairs)), "a long, b long, similarity double" if pairs else "rep long, links long, root long")
     return signed, classes, verified
 
 
-def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, seed: int = 0) -> DataFrame:
+def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, block_grams: int = 1 << 20, seed: int = 0) -> DataFrame:
     """a < b and similarity of every two classes of equal sets, each named by its least id, that are similar enough.
 
-    a = b, if the least id is the same.
+    a = b, if the least id is the same. block and block_grams: classes and n-grams of a block, about.
     """
-    _, classes, verified = _join(docs, id_col, text_col, n, threshold, recall, block, seed, True)
+    _, classes, verified = _join(docs, id_col, text_col, n, threshold, recall, block, block_grams, seed, True)
     found = verified.distinct()
     for c in ("a", "b"):
         found = found.join(classes.select(F.col("rep").alias(c), F.col("least").alias(f"{c}_id")), c)
     return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, seed: int = 0) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, block_grams: int = 1 << 20, seed: int = 0) -> DataFrame:
     """Signatures with their class, its number of links, and the first document of its group (by id, class and text)."""
-    signed, classes, verified = _join(docs, id_col, text_col, n, threshold, recall, block, seed, False)
+    signed, classes, verified = _join(docs, id_col, text_col, n, threshold, recall, block, block_grams, seed, False)
     verified = cut(verified, "jaccard-verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(verified.select("rep", "root"), lambda x: cut(x, "jaccard-groups")).select(F.col("id").alias("rep"), F.col("root").alias("group"))

@@ -50,8 +50,8 @@ def test_jaccard_equals_all_pairs(spark, near):
     rows = [*near, (1000, near[0][1]), (1001, "short one"), (1002, "short one"), (1003, ""), (1004, None), (1005, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     classes, links = plain_links(rows)
-    for block in (512, 8):
-        found = {r.doc_id: r for r in jaccard.near_duplicates(df, block=block).collect()}
+    for options in ({}, {"block": 8}, {"block_grams": 300}):
+        found = {r.doc_id: r for r in jaccard.near_duplicates(df, **options).collect()}
         assert {i: r.class_id for i, r in found.items()} == {i: classes[i] for i, _ in rows}
         assert {i: r.n_links for i, r in found.items()} == {i: links[i] for i, _ in rows}
     pairs = {(r.a, r.b) for r in jaccard.link_classes(df, block=8).collect()}
@@ -62,13 +62,39 @@ def test_jaccard_equals_all_pairs(spark, near):
 def test_matrix_and_set_products_agree():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(60)]
-    bands = np.zeros((60, 1), np.int64)
+    bands = np.ones((60, 1), np.int64)
     x, y, both = jaccard.similar_pairs(sets, bands, np.arange(60), None, 300)  # many pairs: products of matrices
     some = {(i, j) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if (n := len(np.intersect1d(sets[i], sets[j]))) * 1000 >= 300 * (len(sets[i]) + len(sets[j]) - n)}
     assert some == want and all(len(np.intersect1d(sets[i], sets[j])) == n for i, j, n in zip(x, y, both, strict=True))
 
 
+def test_jaccard_with_long_texts_and_repeated_ids(spark, base_text):
+    """Sets far beyond a block's bound, and ids that stand with several texts: no link is lost, as by all pairs of sets."""
+    long = [f"w{i}" for i in range(20_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:9000], "new", *long[9001:]])), (2, "a b c d e f g h"), (3, "a b c d e f g h"), (4, " ".join(long[2000:]))]
+    a, b = base_text(500, 60), base_text(501, 60)
+    rows += [(7, a), (7, b), (8, f"{a} z"), (9, f"{b} z"), (10, f"{b} y"), (10, f"{b} y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [grams(t) for _, t in rows]
+    near = [[bool(s and t and len(s & t) * 10 >= 8 * len(s | t)) for t in sets] for s in sets]
+    links = Counter((i, sum(near[k][j] for j in range(len(rows)) if j != k)) for k, (i, _) in enumerate(rows))
+    roots = union_find([(k, j) for k in range(len(rows)) for j in range(len(rows)) if near[k][j] or k == j])
+    least = {r: min(rows[k][0] for k in range(len(rows)) if roots[k] == r) for r in roots.values()}
+    found = jaccard.near_duplicates(df, block_grams=5000).collect()
+    assert Counter((r.doc_id, r.n_links) for r in found) == links
+    assert Counter((r.doc_id, r.class_id) for r in found) == Counter((i, least[roots[k]]) for k, (i, _) in enumerate(rows))
+
+
+def test_jaccard_query_equals_all_pairs(spark, tmp_path, near):
+    from rulespark.llm.entry import op4_ngram_jaccard_join
+
+    rows = [*near, (2000, None), (2001, near[3][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    classes, links = plain_links(rows)
+    assert {(r.doc_id, r.class_id, r.n_links) for r in op4_ngram_jaccard_join(spark, str(tmp_path)).collect()} == {(i, classes[i], links[i]) for i, _ in rows}
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         rows, bands = jaccard.choose_bands(threshold, 0.99)
