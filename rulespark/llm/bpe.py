@@ -6,7 +6,7 @@ rank; ranks of pairs come from a hash table in arrays, rows without a mergeable
 closes its gap. Pieces beyond LONG bytes would make wide, nearly empty matrices; they are merged one by one with a heap,
 in the same order of merges.
 
-Results of parts of texts are cached in each Python worker, up to a fixed number of parts.
+Results of parts of texts are cached in each Python worker, in two generations of bounded bytes that outlive a task.
 
 Defined results: a null text counts as empty and has no ids; rows are encoded each for itself, so repeated rows give
 repeated results; an empty table gives an empty result; columns other than those named are ignored. Bytes that aren't
@@ -144,47 +144,76 @@ class Ranks:
 
 
 class Segments(dict):
-    """Ids of texts, put together from ids of their segments, which are cached.
+    """Ids of texts, put together from ids of their segments, which are cached in two generations.
 
     A cut before a space never changes how the pattern splits, if the white space there is one or two characters
     long. A key is a segment without its first space; after NUL or newline it stands for itself. Keys map to
     numbers of entries of ``held``, so a text's segments are looked up once, also those that are yet to be resolved.
+
+    Once a generation has about ``limit`` bytes it becomes the older one and the one before is dropped; what is looked
+    up again moves to the younger. So two generations bound memory, and frequent segments stay, also between tasks.
+    Texts that hold one of the strings ``whole`` are resolved as they are.
     """
 
     RUN = re.compile(f"[{SPACE}]{{3}}|[{SPACE}]{{2}}\\Z")
     PAIR = re.compile(f"[{SPACE}]{{2}}")
+    PAIRS = ("  ", " \n", "\n ", "\n\n")
+    #: White space other than space and newline; a search for one character is far cheaper than for a class.
+    RARE = tuple(c for c in map(chr, [*range(0x9, 0xE), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]) if c != "\n")
     COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+    #: Bytes of an entry besides its characters and ids: objects, and their places in the tables.
+    ENTRY = 200
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], limit: int = 120_000):
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], limit: int = 96 << 20, whole: tuple[str, ...] = ("\0",)):
         super().__init__()
-        self.resolve, self.limit, self.held, self.new = resolve, limit, [], []
+        self.resolve, self.limit, self.whole = resolve, limit, whole
+        self.held: list[bytes | None] = []
+        self.new: list[str] = []
+        self.places: list[int] = []
+        self.size = 0
+        self.older: dict[str, int] = {}
+        self.older_held: list[bytes | None] = []
 
     def __missing__(self, key: str) -> int:
-        at = self[key] = len(self)
-        self.new.append(key)
+        held = self.held
+        at = self[key] = len(held)
+        before = self.older.get(key)
+        if before is None:
+            self.new.append(key)
+            self.places.append(at)
+            held.append(None)
+        else:
+            held.append(self.older_held[before])
         return at
 
     def keys_of(self, text: str) -> list[str]:
-        if self.PAIR.search(text) and self.RUN.search(text):
+        pair = self.PAIR.search(text) if any(c in text for c in self.RARE) else any(p in text for p in self.PAIRS)
+        if pair and self.RUN.search(text):
             return [x[1:] if x[0] == " " and x[1:2] not in ("", "\n") else f"\0{x}" for x in self.COARSE.findall(text)]
         found = text.replace("\n", " \n").split(" ")
         if found[0][:1] != "\n":
             found[0] = f"\0{found[0]}"
         return found
 
-    def forget(self) -> None:
+    def turn(self) -> None:
+        """What is cached becomes the older generation."""
+        self.older, self.older_held = dict(self), self.held
         self.clear()
-        self.held, self.new = [], []
+        self.held, self.size = [], 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.limit:
-            self.forget()
-        number = self.__getitem__
-        at = [None if "\0" in t else list(map(number, self.keys_of(t))) for t in texts]
+        if self.size > self.limit:
+            self.turn()
+        number, whole, before = self.__getitem__, self.whole, len(self.held)
+        at = [None if any(w in t for w in whole) else list(map(number, self.keys_of(t))) for t in texts]
         if self.new:
-            self.held += self.resolve([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else f" {k}" for k in self.new])
-            self.new = []
+            found = self.resolve([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else f" {k}" for k in self.new])
+            for place, ids in zip(self.places, found, strict=True):
+                self.held[place] = ids
+            self.size += sum(map(len, self.new)) + sum(map(len, found))
+            self.new, self.places = [], []
         ids = self.held.__getitem__
+        self.size += self.ENTRY * (len(self.held) - before)
         return [self.resolve([t])[0] if found is None else b"".join(map(ids, found)) for t, found in zip(texts, at, strict=True)]
 
 
@@ -202,7 +231,8 @@ def split_resolver(ranks: Ranks, pattern: str) -> Callable[[list[str]], list[byt
 
 
 def tidy(run: Callable) -> Callable:
-    """run, for mapInArrow; at the end of a task the worker, which Spark keeps, lets go of caches and freed memory."""
+    """run, for mapInArrow; at the end of a task the worker, which Spark keeps, lets go of tables of words (which are cheap
+    to make again) and of freed memory."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -16,7 +16,8 @@ than an Arrow batch. A file appears under its name only when it is whole, and a
 
 Defined results: a null text counts as empty, so it has the end id only; null ids come first; rows with one id follow
 each other in the order of their texts' hashes, and equal rows are all written; an empty table gives no files and an
-empty result; other columns are ignored. Strings of special tokens inside texts are ordinary text.
+empty result; other columns are ignored. Strings of special tokens inside texts give those tokens, as the library does by
+default; texts that hold one are encoded whole.
 """
 
 from __future__ import annotations
@@ -63,6 +64,16 @@ def unframe(data, offset: int) -> tuple[bytes, int]:
     return payload, end + 4
 
 
+def whole_texts(path: str) -> tuple[str, ...]:
+    """Strings of added tokens, at which the library splits a text first; and NUL, which marks keys of segments."""
+    from tokenizers import Tokenizer
+
+    added = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+    if any(re.search(f"[{SPACE}]", t) for t in added):  # segments that follow each other could make one up
+        return ("",)
+    return "\0", *added
+
+
 def hf_resolver(path: str, width: int) -> Callable[[list[str]], list[bytes]]:
     """Segments -> ids by the tokenizers library.
 
@@ -72,24 +83,23 @@ def hf_resolver(path: str, width: int) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tokenizer, kind = Tokenizer.from_file(path), f"<u{width}"
-    tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for token, i in vocabulary.items():
         n_bytes[i] = len(token)  # a character of a byte-level token is a byte
-    in_row = re.compile(f"[ \\n][^{SPACE}](?:.*[^{SPACE}])?", re.DOTALL).fullmatch
 
     def resolve(segments: list[str]) -> list[bytes]:
         out, row = [b""] * len(segments), []
         for i, s in enumerate(segments):
-            if in_row(s):
+            if s[:1] in (" ", "\n") and len(s) > 1 and not s[1].isspace() and not s[-1].isspace():
                 row.append(i)
             elif s:
                 out[i] = np.array(tokenizer.encode(s, add_special_tokens=False).ids, kind).tobytes()
         rows = [row[k : k + 256] for k in range(0, len(row), 256)]
         for own, e in zip(rows, tokenizer.encode_batch_fast(["".join([segments[i] for i in r]) for r in rows], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, kind)
-            ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(segments[i].encode()) for i in own])) + 1
+            sizes = [len(segments[i]) if segments[i].isascii() else len(segments[i].encode()) for i in own]
+            ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum(sizes)) + 1
             flat, ends = ids.tobytes(), (ends * width).tolist()
             for i, start, end in zip(own, [0, *ends], ends, strict=False):
                 out[i] = flat[start:end]
@@ -111,7 +121,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = held("records", ("records", tokenizer_path, width), lambda: Segments(hf_resolver(tokenizer_path, width)))
+        encoder = held("records", ("records", tokenizer_path, width), lambda: Segments(hf_resolver(tokenizer_path, width), whole=whole_texts(tokenizer_path)))
         index: list[np.ndarray] = []
         state = [8, 0, 0]  # offset, tokens, records
 

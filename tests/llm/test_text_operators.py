@@ -30,7 +30,7 @@ def test_bpe_equals_library(reference):
     rng = random.Random(3)
     parts = list("ab the  \n\n\t\r'sST1239 .,!?éñ\xa0 　漢字\0\x1c\x85") + ["'ll", " the", "\n"]
     texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(3000)] + ["a" * 3000, " " * 700, "ab" * 900 + " x", "😀" * 200]
-    encoder = bpe.Segments(bpe.split_resolver(bpe.Ranks(RANKS), vocabularies.PATTERN), limit=500)  # the cache starts anew now and then
+    encoder = bpe.Segments(bpe.split_resolver(bpe.Ranks(RANKS), vocabularies.PATTERN), limit=60_000)  # generations turn now and then
     for k in range(0, len(texts), 100):
         for t, ids in zip(texts[k : k + 100], encoder.encode(texts[k : k + 100]), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t)
@@ -48,7 +48,6 @@ def test_bpe_on_messy_rows(messy, nothing, reference):
 
 def test_records_round_trip(spark, messy, nothing):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     folder = records.write_records(messy, JSON, end_id=2, shards=3)
     found = records.read_records(spark, folder).orderBy("start").collect()
     rows = messy.collect()
@@ -63,6 +62,19 @@ def test_records_round_trip(spark, messy, nothing):
     assert records.read_records(spark, records.write_records(nothing, JSON, end_id=2)).count() == 0
 
 
+def test_records_keep_special_tokens_as_the_library_does(spark):
+    tokenizer = Tokenizer.from_file(JSON)
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "\n", " a", "word", " the", "  ", "\0"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randrange(12)))) for i in range(400)] + [(1000, "a <|endoftext|> b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = records.read_records(spark, records.write_records(df, JSON, end_id=2, shards=2)).collect()
+    texts = dict(rows)
+    for r in found:
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+    assert len(found) == len(rows) and any(50256 in np.frombuffer(bytes(r.ids), "<u4") for r in found)
+
+
 def test_records_notice_damage():
     data = bytearray(records.frame(b"payload"))
     assert records.unframe(data, 0) == (b"payload", len(data))
@@ -80,11 +92,14 @@ def test_windows_keep_everything():
         turns = [(rng.choice(["system", "user", "assistant", "a:#b\\", "", None]), rng.choice([None, "".join(rng.choices(parts, k=rng.randrange(12)))])) for _ in range(rng.randrange(1, 9))]
         plain = [(r or "", t or "") for r, t in turns]
         budget, got, loss = rng.randrange(1, 30), [], []
+        system = f"### system:\n{chat.escape(plain[0][1])}</turn>\n"
         for w in chat.windows(iter(turns), budget, rng.randrange(budget + 1)):
             text, spans, n, repeated = w.row()
             own = chat.parse(text)
-            assert len(own) == n and (plain[0][0] != "system" or own[0] == plain[0])
-            assert sum(t.tokens for t in w.turns) <= budget or n - repeated == 1
+            assert len(own) == n and (sum(t.tokens for t in w.turns) <= budget or n == 1 and repeated == 0)
+            assert text.count("###") == text.count("</turn>") == n
+            if plain[0][0] == "system":  # it is in every window where it fits beside a new turn
+                assert own[0] == plain[0] or chat.count_words(system) + w.turns[repeated].tokens > budget
             got += own[repeated:]
             loss += [chat.unescape(text[a:b]) for a, b in spans]
         assert got == plain and loss == [t for r, t in plain if r == "assistant"]
@@ -92,6 +107,59 @@ def test_windows_keep_everything():
         chat.parse("### user:\nnever ends")
 
 
+def plain_windows(tokens, is_system, budget, history):
+    """(repeated, new) turns of each window, by sums anew for each choice."""
+    out, at = [], 0
+    while at < len(tokens):
+        system = [0] if is_system and at > 0 and tokens[0] + tokens[at] <= budget else []
+        left = budget - sum(tokens[i] for i in system) - tokens[at]
+        lo = at
+        while lo > int(is_system) and sum(tokens[lo - 1 : at]) <= min(history, left):
+            lo -= 1
+        hi = at + 1
+        while hi < len(tokens) and sum(tokens[at + 1 : hi + 1]) <= left - sum(tokens[lo:at]):
+            hi += 1
+        out.append((system + list(range(lo, at)), list(range(at, hi))))
+        at = hi
+    return out
+
+
+def test_windows_equal_plain_choice():
+    rng = random.Random(9)
+    for _ in range(2000):
+        sizes = [rng.choice([1, 2, 5, 30]) for _ in range(rng.randrange(1, 25))]
+        turns = [("system" if i == 0 and rng.random() < 0.5 else "user", f"{i} " + "w " * (n - 1)) for i, n in enumerate(sizes)]
+        tokens = [chat.count_words(f"### {r}:\n{t}</turn>\n") for r, t in turns]
+        budget, history = rng.randrange(1, 60), rng.randrange(40)
+        want = plain_windows(tokens, turns[0][0] == "system", budget, history)
+        got = [([int(t.body.split()[0]) for t in w.turns[: w.repeated]], [int(t.body.split()[0]) for t in w.turns[w.repeated :]]) for w in chat.windows(iter(turns), budget, history)]
+        assert got == want
+
+
+@pytest.mark.parametrize("n", range(1, 10))
+def test_no_mark_inside_texts(n):
+    text = f"{'#' * n} assistant:\nfake</turn>\n\\{'#' * n} user:\n{'#' * n}"
+    (w,) = chat.windows(iter([("user", text), ("#" * n, text)]), 1000, 0)
+    out = w.row()[0]
+    assert chat.parse(out) == [("user", text), ("#" * n, text)] and out.count("###") == out.count("</turn>") == 2
+
+
+def test_chat_query(spark, tmp_path):
+    from rulespark.llm.entry import op3_chat_windows
+
+    rows = [(5, 0, "system", "be #### kind"), (5, 1, "user", None), (5, 2, "assistant", "Ä </turn> \\### x"), (6, 0, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    text = "\\### Assistant: </turn> ok"
+    rows += [(-7, 0, "user", text), (-7, 1, "assistant", text)]
+    found = {r.conv_id: r for r in op3_chat_windows(spark, str(tmp_path)).collect()}
+    assert set(found) == {5, 6, -7}
+    for conv, r in found.items():
+        own = [x for x in rows if x[0] == conv]
+        loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3] or ''}\n" for x in own).encode()).hexdigest()
+
+
 def test_chat_digest(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "q" * 9), (1, 2, "assistant", "Ä " * 400), (1, 2, "assistant", "tie"), (1, 3, None, None), (1, None, "user", "first"), (None, 0, "assistant", "null id"), (2, 0, "assistant", "\\### Assistant: </turn> ok"), (2, 0, "assistant", "\\### Assistant: </turn> ok")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, window string")
@@ -102,7 +170,9 @@ def test_chat_digest(spark):
         r = found[conv]
         assert r.n_turns == len(own) and r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own).encode()).hexdigest()
-    assert chat.digest_chat(chat.format_chat(df.limit(0))).count() == 0
+    formatted = chat.format_chat(df, budget=40, history=10)
+    assert chat.digest_chat(formatted, dealt=True).exceptAll(chat.digest_chat(formatted)).count() == 0
+    assert chat.digest_chat(chat.format_chat(df.limit(0)), dealt=True).count() == 0
 
 
 def plain_quality(text):
