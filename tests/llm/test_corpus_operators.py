@@ -207,16 +207,51 @@ def test_language_model(spark, base_text, order):
         assert r.score == pytest.approx(score(t)) and r.base_score == pytest.approx(sum(math.log10((raw[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
 
 
-def test_language_model_sums_to_one(spark, base_text):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_sums_to_one(spark, base_text, order):
     df = spark.createDataFrame([(i, base_text(i, 30)) for i in range(20)], "doc_id long, text string")
-    model = ngram_lm.fit(df, shards=3)
+    model = ngram_lm.fit(df, order=order, shards=3)
     words = sorted({w for r in df.collect() for w in r.text.encode().split()})
-    tokens = np.append(np.array([ngram_lm.hash_words([w])[0] for w in words], np.uint64), ngram_lm.END)
-    for context in (ngram_lm.START, tokens[0], tokens[3]):
-        p, _ = model.probabilities(np.stack([np.full(len(tokens) + 1, context), np.append(tokens, np.uint64(12345))], 1))
+    known = model.known(ngram_lm.hashes_of([b" start", *words, b"never-seen", b" end"]))
+    last = np.arange(1, len(known))
+    for context in (0, 1, 4, len(known) - 2):
+        p = model.probabilities([*[np.full(len(last), context)] * (order - 1), last], known)
         assert p.sum() == pytest.approx(1)
 
 
+def test_blocks_and_tables_round_trip():
+    rng = np.random.default_rng(3)
+    for high in (1, 5, 300, 2**40):
+        columns = [rng.integers(0, high, 4000).astype(np.uint64) for _ in range(3)]
+        rows, (n,) = ngram_lm.summed(columns, [np.ones(4000, np.uint8)])
+        want = Counter(zip(*(c.tolist() for c in columns), strict=True))
+        *back, times = ngram_lm.unpack(ngram_lm.pack(rows, [n]))
+        assert dict(zip(zip(*(c.tolist() for c in back), strict=True), times.tolist(), strict=True)) == want
+        assert [c.tolist() for c in back] == [c.tolist() for c in rows]
+    for n in (1, 7, 5000):
+        keys = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        table = ngram_lm.hash_table(keys)
+        assert ngram_lm.find(table, keys).tolist() == list(range(len(keys)))
+        assert (ngram_lm.find(table, keys ^ np.uint64(1 << 40)) == -1).all()
+
+
+def test_language_model_query(spark, tmp_path, base_text):
+    from rulespark.llm.entry import op7_lm_scoring
+
+    rows = [(i, base_text(i % 23, 20 + i % 7)) for i in range(120)] + [(500, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    texts = {i: [w.lower() for w in (t or "").encode().split()] + ["</s>"] for i, t in rows}
+    raw, score = plain_model([texts[i] for i, _ in rows if not out[i]], 3)
+    n, v = sum(raw.values()), len(raw)
+    found = op7_lm_scoring(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        t = texts[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(t), sum(raw[w] > 0 for w in t), n)
+        assert r.score == pytest.approx(score(t)) and r.base_score == pytest.approx(sum(math.log10((raw[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
+
+
 def test_language_model_messy(messy, nothing):
     assert ngram_lm.score(messy, ngram_lm.fit(messy)).count() == messy.count()
     found = ngram_lm.score(messy, ngram_lm.fit(nothing)).collect()
