@@ -230,16 +230,18 @@ def split_resolver(ranks: Ranks, pattern: str) -> Callable[[list[str]], list[byt
     return resolve
 
 
-def tidy(run: Callable) -> Callable:
-    """run, for mapInArrow; at the end of a task the worker, which Spark keeps, lets go of tables of words (which are cheap
-    to make again) and of freed memory."""
+def tidy(run: Callable, keep: bool = False) -> Callable:
+    """run, for mapInArrow; at the end of a task the worker, which Spark keeps, lets go of freed memory.
+
+    So it does of tables of words, which are cheap to make again, unless keep is set.
+    """
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
             for x in _HELD.values():
-                if hasattr(x, "forget"):
+                if not keep and hasattr(x, "forget"):
                     x.forget()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # where the C library can give memory back

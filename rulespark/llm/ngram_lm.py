@@ -38,6 +38,7 @@ import struct
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ UNKNOWN = np.uint64(1 << 62)
 SPLIT = 16
 #: n-grams of a shard, about, counted with repeats.
 SHARD = 8_000_000
+#: Words that a worker knows at once.
+CACHED = 500_000
 BLOCKS = "kind string, shard int, block binary"
 _BY = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
@@ -86,17 +89,54 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 def lex_order(columns: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by their columns, packed into as few 64-bit keys as will do."""
-    keys, bits = [], 65
-    for c in columns:
-        width = int(c.max(initial=0)).bit_length()
-        if bits + width <= 64:
-            keys[-1] = (keys[-1] << np.uint64(width)) | c.astype(np.uint64)
-            bits += width
-        else:
-            keys.append(c.astype(np.uint64))
-            bits = width
-    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    """An order that sorts rows by their columns: by the first 64 bits, then by the rest where those are equal."""
+    widths = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(widths) > 128:
+        return np.lexsort(columns[::-1])
+    keys, left = [np.zeros(len(columns[0]), np.uint64) for _ in range(2)], [min(64, sum(widths)), max(0, sum(widths) - 64)]
+    for c, width in zip(columns, widths, strict=True):
+        c = c.astype(np.uint64)
+        first = min(width, left[0])
+        rest = width - first
+        if first:
+            keys[0] = (keys[0] << np.uint64(first % 64) if first < 64 else 0) | c >> np.uint64(rest)
+        if rest:
+            keys[1] = (keys[1] << np.uint64(rest % 64) if rest < 64 else 0) | c & np.uint64((1 << rest) - 1)
+        left[0] -= first
+    order = np.argsort(keys[0])
+    if left[1]:
+        again = keys[0][order[1:]] == keys[0][order[:-1]]
+        tied = np.flatnonzero(np.append(again, False) | np.append(False, again))
+        if len(tied):
+            group = np.cumsum(np.append(True, ~again))[tied]
+            order[tied] = order[tied][np.lexsort((keys[1][order[tied]], group))]
+    return order
+
+
+def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in ascending order, and how often each occurs."""
+    widths = [int(c.max(initial=0)).bit_length() for c in columns]
+    own: list[np.ndarray | None] = [None] * len(columns)
+    for i, c in enumerate(columns):  # numbers of few distinct ids take fewer bits
+        if sum(widths) > 64:
+            own[i] = np.unique(c)
+            widths[i] = int(len(own[i]) - 1).bit_length()
+    if sum(widths) > 64:
+        order = lex_order(columns)
+        columns = [c[order] for c in columns]
+        first = starts_of(columns)
+        return [c[first] for c in columns], np.diff(first, append=len(order))
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c, width, distinct in zip(columns, widths, own, strict=True):
+        key = key << np.uint64(width % 64) | (c if distinct is None else np.searchsorted(distinct, c)).astype(np.uint64)
+    key.sort()
+    first = starts_of([key])
+    key, out = key[first], []
+    for width, distinct in zip(reversed(widths), reversed(own), strict=True):
+        c = key & np.uint64((1 << width) - 1)
+        out.append(c if distinct is None else distinct[c])
+        key = key >> np.uint64(width % 64)
+    return out[::-1], np.diff(first, append=len(columns[0]))
 
 
 def starts_of(columns: list[np.ndarray]) -> np.ndarray:
@@ -184,18 +224,16 @@ def find(table: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     """Places of the keys in a hash table, -1 where they aren't."""
     starts, tails = table[:2]
     bits = np.uint64((len(starts) - 1).bit_length() - 1)
-    bucket = (keys >> (np.uint64(64) - bits)).astype(np.int64)
-    at, end, tail, rows = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64), ((keys << bits) >> np.uint64(32)).astype(np.uint32), np.arange(len(keys))
-    out = np.full(len(keys), -1)
-    going = at < end
-    while going.any():
-        at, end, tail, rows = at[going], end[going], tail[going], rows[going]
-        own = tails[at]
-        hit = own == tail
-        out[rows[hit]] = at[hit]
-        at = at + 1
-        going = (own < tail) & (at < end)
-    return out
+    bucket, tail = (keys >> (np.uint64(64) - bits)).astype(np.int64), ((keys << bits) >> np.uint64(32)).astype(np.uint32)
+    low, end, last = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64), max(len(tails) - 1, 0)
+    high = end
+    for _ in range(int((end - low).max(initial=0)).bit_length()):  # bisection of all buckets at once
+        middle = (low + high) >> 1
+        less = (tails[np.minimum(middle, last)] < tail) & (middle < high)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    if not len(tails):
+        return np.full(len(keys), -1)
+    return np.where((low < end) & (tails[np.minimum(low, last)] == tail), low, -1)
 
 
 def _by_shard(kind: str, shard: np.ndarray, block: Callable[[np.ndarray], bytes]) -> Iterator[tuple[str, int, bytes]]:
@@ -325,7 +363,7 @@ def tokens(texts: list[bytes], order: int, words: WordRows) -> tuple[np.ndarray,
     """Rows in words of the texts' tokens, each text's with its start and end marks; and each text's tokens without starts."""
     found = [(t or b"").split() for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
-    own = words.rows([*MARKS, *(w for f in found for w in f)])
+    own = words.rows([*MARKS, *chain.from_iterable(found)])
     flat = np.full(int(sizes.sum()) + len(found) * (order - 1), own[0], np.int64)
     ends = np.cumsum(sizes + order - 1)
     kept = np.ones(len(flat), bool)
@@ -345,13 +383,13 @@ def _grams(flat: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
 
 def _deal(level: int, columns: list[np.ndarray], count: np.ndarray, shards: int, v_shards: int) -> Iterator[tuple[str, int, bytes]]:
     """Blocks of distinct sorted n-grams; single tokens go where their ids say."""
-    shard = gram_shards(columns, shards) if level > 1 else columns[0] % columns[0].dtype.type(v_shards)
+    shard = gram_shards(columns, shards) if level > 1 else columns[0] % np.uint64(v_shards)
     yield from _by_shard(f"g{level}", shard, lambda k: pack([c[k] for c in columns], [count[k]]))
 
 
 def _count(order: int, shards: int, v_shards: int, folder: str, run: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held("ngrams", ("ids", folder), lambda: WordRows(lambda found: token_ids(hashes_of(found), folder, v_shards)[0]))
+        words = held("ngrams", ("ids", folder), lambda: WordRows(lambda found: token_ids(hashes_of(found), folder, v_shards)[0], CACHED))
 
         def rows() -> Iterator[tuple[str, int, bytes]]:
             some: list[list[np.ndarray]] = []
@@ -360,12 +398,10 @@ def _count(order: int, shards: int, v_shards: int, folder: str, run: int):
             def flush() -> Iterator[tuple[str, int, bytes]]:
                 columns = [_narrow(np.concatenate(c)) for c in zip(*some, strict=True)]
                 some.clear()
-                by = lex_order(columns)
-                columns = [c[by] for c in columns]
-                first = starts_of(columns)
-                times = np.diff(first, append=len(by))
-                del by
-                yield from _deal(order, [c[first] for c in columns], times, shards, v_shards)
+                shard = gram_shards(columns, shards) if order > 1 else columns[0] % np.uint64(v_shards)
+                for s, k in _groups(shard):
+                    own, times = counted([c[k] for c in columns])
+                    yield f"g{order}", s, pack(own, [times])
 
             for batch in batches:
                 for start, end in pieces(batch, "text"):
@@ -409,17 +445,19 @@ def _sum_level(level: int, shards: int, v_shards: int, folder: str):
         first = starts_of(columns[:-1])
         context = [c[first] for c in columns[:-1]]
         sums = [np.add.reduceat(x, first) for x in (count, (count == 1).astype(np.uint64), (count == 2).astype(np.uint64), (count > 2).astype(np.uint64))]
-        shard = key_shards(gram_keys(context), shards) if level > 2 else context[0] % context[0].dtype.type(v_shards)
+        shard = key_shards(gram_keys(context), shards) if level > 2 else context[0] % np.uint64(v_shards)
         yield from _by_shard(f"c{level}", shard, lambda k: pack([c[k] for c in context], [x[k] for x in sums]))
-        rest, (times,) = summed(columns[1:], [np.ones(len(count), np.uint8)])
+        rest, times = counted(columns[1:])
         yield from _deal(level - 1, rest, times, shards, v_shards)
 
     def contexts(name: str, blocks: list[bytes]) -> None:
-        *columns, total, ones, twos, more = _joined(blocks)
-        columns, sums = summed([_narrow(c) for c in columns], [total, ones, twos, more])
-        _, first, code = np.unique(gram_keys(sums), return_index=True, return_inverse=True)
-        code = code.astype(np.uint64) + np.uint64(1)  # 0: no context
-        table = [np.append(np.uint64(0), x[first]) for x in sums]
+        found = _joined(blocks)
+        columns, sums = summed([_narrow(c) for c in found[:-4]], found[-4:])
+        del found
+        code, more = np.ones(len(total := sums[0]), np.uint64), np.flatnonzero(total > 1)  # 0: no context, 1: one n-gram, once
+        _, first, other = np.unique(gram_keys([x[more] for x in sums]), return_index=True, return_inverse=True)
+        code[more] = other.astype(np.uint64) + np.uint64(2)
+        table = [np.append(np.array([0, one], np.uint64), x[more][first]) for x, one in zip(sums, (1, 1, 0, 0), strict=True)]
         if len(columns) == 1:
             write_arrays(name, [dense(columns[0].astype(np.uint64), code), *table])
             return
@@ -516,7 +554,7 @@ class Model:
                 seen = np.flatnonzero(total)
                 count = self.counts(level, [c[seen] for c in ids[self.order - level :]])
                 total, ones = total[seen], ones[seen]
-            p[seen] = (np.maximum(count[: len(seen)] - d[np.minimum(count[: len(seen)], 3).astype(np.int64)], 0) + ones[: len(seen)] @ d[1:] * p[seen]) / total[: len(seen)]
+            p[seen] = (np.maximum(count[: len(seen)] - d[np.minimum(count[: len(seen)], 3).astype(np.int64)], 0) + sum(ones[: len(seen), k] * d[k + 1] for k in range(3)) * p[seen]) / total[: len(seen)]
         return p
 
 
@@ -547,7 +585,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", order: int = 3, shards: int
     blocks = lean.mapInArrow(tidy(_count_tokens(v_shards)), BLOCKS).repartition(v_shards, "kind", "shard").sortWithinPartitions("kind", "shard")
     n_distinct, n_tokens = _sums(blocks.mapInArrow(tidy(_write_tokens(folder)), BLOCKS)).get(0, (0.0, 0.0))
     shards = shards or max(v_shards, int(-(-n_tokens // SHARD)))
-    blocks = lean.mapInArrow(tidy(_count(order, shards, v_shards, folder, run)), BLOCKS)
+    blocks = lean.mapInArrow(tidy(_count(order, shards, v_shards, folder, run), keep=True), BLOCKS)
     for level in range(order, 0, -1):
         blocks = blocks.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(tidy(_sum_level(level, shards, v_shards, folder)), BLOCKS)
     sums = _sums(blocks)
@@ -564,7 +602,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     most = min(16_000_000, max(2_000_000, 10_000 * model.shards))  # more text at a time, where more shards share it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held("ngrams", ("known", model.folder), lambda: WordRows(lambda found: model.known(hashes_of(found))))
+        words = held("ngrams", ("known", model.folder), lambda: WordRows(lambda found: model.known(hashes_of(found)), CACHED))
         for batch in batches:
             for start, end in pieces(batch, "_text", most):
                 flat, sizes = tokens(batch.column(1).slice(start, end - start).to_pylist(), model.order, words)
@@ -578,7 +616,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     bounded_batches(docs.sparkSession)
     lean = docs.select(docs[id_col].alias(id_col), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("_text"))
     one = F.lit(1).cast("long")
-    scored = lean.mapInArrow(tidy(run), lean.select(id_col, one.alias("n_tokens"), one.alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema)
+    scored = lean.mapInArrow(tidy(run, keep=True), lean.select(id_col, one.alias("n_tokens"), one.alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema)
     return scored.select(id_col, "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -221,13 +221,15 @@ def test_language_model_sums_to_one(spark, base_text, order):
 
 def test_blocks_and_tables_round_trip():
     rng = np.random.default_rng(3)
-    for high in (1, 5, 300, 2**40):
-        columns = [rng.integers(0, high, 4000).astype(np.uint64) for _ in range(3)]
+    for high in (1, 5, 300, 2**22, 2**24, 2**40, 2**50):
+        columns = [rng.integers(0, high, 4000).astype(np.uint64)[rng.integers(0, 4000, 4000) % (1 + rng.integers(1, 4000))] for _ in range(3)]
         rows, (n,) = ngram_lm.summed(columns, [np.ones(4000, np.uint8)])
         want = Counter(zip(*(c.tolist() for c in columns), strict=True))
         *back, times = ngram_lm.unpack(ngram_lm.pack(rows, [n]))
+        distinct, n = ngram_lm.counted(columns)
+        assert dict(zip(zip(*(c.tolist() for c in distinct), strict=True), n.tolist(), strict=True)) == want and [c.tolist() for c in distinct] == [c.tolist() for c in rows]
         assert dict(zip(zip(*(c.tolist() for c in back), strict=True), times.tolist(), strict=True)) == want
-        assert [c.tolist() for c in back] == [c.tolist() for c in rows]
+        assert [c.tolist() for c in back] == [c.tolist() for c in rows] and list(zip(*(c.tolist() for c in back), strict=True)) == sorted(want)
     for n in (1, 7, 5000):
         keys = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         table = ngram_lm.hash_table(keys)
