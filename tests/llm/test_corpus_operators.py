@@ -281,6 +281,91 @@ def test_gradients():
         assert (up - down) / 2 / e == pytest.approx(float(g[k][i]), abs=3e-3)
 
 
+def test_gradients_of_inputs_and_embeddings():
+    net, rng = toxicity.Network.new(2), np.random.default_rng(1)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    found = [b"alpha", b"Beta,", b"gammadelta", b"unknown"]
+    flat, sizes = toxicity.features(found)
+    emb = toxicity.Embeddings.new(flat, sizes, [np.array([0, 1, 2])] * 9, 0)
+    emb.words, emb.grams = emb.words.astype(np.float64), emb.grams.astype(np.float64)
+    rows, at, y = emb.rows(flat, sizes), np.array([[0, 1, 3], [2, 2, -1]]), np.array([1.0, 0.0])
+    assert rows[0].tolist()[3] == 0 and sorted(rows[0].tolist()[:3]) == [1, 2, 3]
+
+    def loss():
+        x = np.where((at >= 0)[..., None], emb.inputs(rows, sizes).astype(np.float64)[at], 0)
+        return net.gradients(x, at >= 0, y)
+
+    _, g = loss()
+    dx = np.zeros((4, toxicity.INPUTS))
+    np.add.at(dx, at[at >= 0], g["inputs"][at >= 0])
+    for table, gradient in zip((emb.words, emb.grams), emb.gradients(rows, sizes, dx), strict=True):
+        for _ in range(4):
+            i = tuple(rng.integers(0, n) for n in table.shape)
+            table[i] += 1e-2
+            up = loss()[0]
+            table[i] -= 2e-2
+            down = loss()[0]
+            table[i] += 1e-2
+            assert (up - down) / 2e-2 == pytest.approx(float(gradient[i]), abs=2e-3)
+
+
+def plain_logit(model, words):
+    """The highest logit over all windows of a text, unit by unit, from characters and words on."""
+    emb, w, size, logits = model.embeddings, model.network.w, toxicity.HIDDEN, []
+    known, grams = dict(zip(emb.word_keys.tolist(), emb.words[1:].tolist(), strict=True)), dict(zip(emb.gram_keys.tolist(), emb.grams.tolist(), strict=True))
+
+    def vector(word):
+        own = toxicity.features([word])[0].tolist()
+        has, n = [grams[h] for h in own[1:] if h in grams], max(len(own) - 1, 1)
+        return known.get(own[0], emb.words[0].tolist()) + [sum(g[k] for g in has) / n for k in range(toxicity.WIDTH)]
+
+    def squash(x):
+        return 1 / (1 + math.exp(-x))
+
+    def states(xs, d):
+        h, out = [0.0] * size, []
+        for x in xs:
+            pre = [sum(x[i] * w[f"in_{d}"][i, j] for i in range(toxicity.INPUTS)) + w[f"bias_{d}"][j] for j in range(3 * size)]
+            gates = [squash(pre[j] + sum(h[i] * w[f"gate_{d}"][i, j] for i in range(size))) for j in range(2 * size)]
+            n = [math.tanh(pre[2 * size + j] + sum(gates[size + i] * h[i] * w[f"state_{d}"][i, j] for i in range(size))) for j in range(size)]
+            h = [(1 - gates[j]) * n[j] + gates[j] * h[j] for j in range(size)]
+            out.append(h)
+        return out
+
+    for start in range(0, max(1, len(words) - toxicity.STRIDE), toxicity.STRIDE):
+        xs = [vector(x) for x in words[start : start + toxicity.LENGTH]]
+        both = [f + b for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        e = [sum(math.tanh(sum(s[i] * w["attend"][i, j] for i in range(2 * size))) * w["choose"][j] for j in range(size)) for s in both]
+        a = [math.exp(x) / sum(math.exp(y) for y in e) for x in e]
+        logits.append(sum(a[t] * both[t][i] * w["out"][i] for t in range(len(xs)) for i in range(2 * size)) + float(w["base"][0]))
+    return max(logits)
+
+
+def test_network_equals_plain_forward_pass(base_text):
+    texts = [base_text(i, 30) + (" vile foul" if i % 2 else "") for i in range(40)]
+    model = toxicity.train(texts, [i % 2 == 1 for i in range(40)], steps=30)
+    found = [t.encode().split() for t in [*texts[:3], "Foul, unseenword the", base_text(5, 16), base_text(6, 33), base_text(7, 75) + " vile", ""]]
+    words = toxicity.WordRows(model.word_rows)
+    rows = words.rows([w for f in found for w in f])
+    z = model.highest(rows, words.data, np.fromiter(map(len, found), np.int64, len(found)))
+    assert z.tolist() == pytest.approx([plain_logit(model, f) for f in found], abs=1e-3)
+
+
+def test_toxicity_query(spark, tmp_path, base_text):
+    from rulespark.llm.entry import op8_toxicity
+
+    rows = [(i, base_text(i, 40) + (" vile foul wretch" if i % 3 == 0 else "")) for i in range(300)] + [(300, base_text(3, 40)), (300, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in rows}
+    # labels of held-out rows are wrong: a model that learnt from them would fail
+    labels = [(i, int((i % 3 == 0) != out[i])) for i in range(300)] + [(300, 0)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = op8_toxicity(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _ in rows)
+    assert all(r.held_out == out[r.doc_id] and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in found)
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in found if r.doc_id < 300) >= 285
+
+
 def test_windows_cover_texts():
     for n in range(0, 200):
         starts = toxicity.window_starts(n)
