@@ -250,11 +250,12 @@ class Engine:
     def relation(self, name: str, takes: Iterable[str]) -> Table:
         return self.declare(name, takes, "Unit", "relation", extractable=False)
 
-    def bind(self, name: str, df: DataFrame, out: str | None = None, unique: bool = False, size: int | None = None) -> Table:
+    def bind(self, name: str, df: DataFrame, out: str | None = None, unique: bool = False, size: int | None = None, nulls: str = "leave out") -> Table:
         """A relation, or by out a function, of a DataFrame's rows. unique: no row (for a function, no key) repeats.
 
-        Columns become keys in their order; integers are i64, floats f64. Rows with a null are left out. Nothing is
-        copied if rows are unique: scans go to the source, with their filters and columns. size: rows, if known.
+        Columns become keys in their order; integers are i64, floats f64. Rows with a null aren't bound; nulls="error"
+        raises if there is one. Nothing is copied if rows are unique: scans go to the source, with their filters and
+        columns. Else distinct rows are written once. size: the number of unique rows without nulls, if known.
         """
         keys = [c for c in df.columns if c != out]
         kind = {c: SORT_OF.get(t) for c, t in df.dtypes}
@@ -262,10 +263,14 @@ class Engine:
             raise ProgramError(f"no sort for columns {bad}")
         t = self.declare(name, [kind[c].name for c in keys], kind[out].name if out else "Unit", "custom" if out else "relation")
         own = df.dropna().select(*[F.col(f"`{c}`").cast(kind[c].ddl).alias(f"c{i}") for i, c in enumerate(keys)], *([F.col(f"`{out}`").cast(kind[out].ddl).alias("out")] if out else []))
-        if not unique:
-            own = own.dropDuplicates(t.keys)
-        own = own.withColumn("ts", F.lit(self.ts).cast("long")).withColumn("sub", F.lit(False))
-        n = size if size is not None else df.count()
+        if nulls == "error" and not df.where(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in df.columns], F.lit(False))).isEmpty():
+            raise ProgramError(f"{name}: a row has a null")
+        stamped = lambda x: x.withColumn("ts", F.lit(self.ts).cast("long")).withColumn("sub", F.lit(False))
+        if unique:
+            own = stamped(own)
+            n = size if size is not None else own.count()
+        else:
+            own, n = settle(stamped(own.dropDuplicates(t.keys)), expect_large=df.count() > LOCAL_ROWS)
         if n:
             t.parts = [Part(own, n, self.ts, self.ts)]
         self.ts += 1
@@ -376,11 +381,10 @@ class Engine:
             t = self.tables[f]
             if t.n:
                 if not t.keys:
-                    t.parts = [] if any(not d.isEmpty() for d in dfs) else t.parts
+                    if any(not d.isEmpty() for d in dfs):
+                        t.clear()
                     continue
-                keys, n = settle(reduce(DataFrame.unionByName, dfs).distinct())
-                if n:
-                    t.remove(keys, n)
+                t.remove(*settle(t.df(self.spark).select(*t.keys).join(reduce(DataFrame.unionByName, dfs).distinct(), t.keys, "left_semi")))
         changed, edges = False, list(stage.unions)
         for f, dfs in stage.rows.items():
             own, more = self.insert(self.tables[f], reduce(DataFrame.unionByName, dfs), now)
@@ -473,12 +477,11 @@ class Engine:
         changed = done.where(was.isNull() | ~F.col("out").eqNullSafe(was)).withColumn("ts", F.lit(now).cast("long")).withColumn("sub", F.lit(False))
         df, n = self.settled(changed.select(*old.columns, was.isNotNull().alias("again")))
         if n:
-            again = df.where("again").select(*t.keys)
-            if t.n and (not t.keys or not again.isEmpty()):
-                if t.keys:
-                    t.remove(again, n)
-                else:
-                    t.parts = []
+            if t.n and t.keys:
+                again = df.where("again").select(*t.keys)
+                t.remove(again, again.count())
+            elif t.n:
+                t.clear()
             t.add(df.drop("again"), n, now)
         return n > 0, edges
 
@@ -525,7 +528,7 @@ class Engine:
             if t.keys:
                 t.remove(df.select(*t.keys), n)
             else:
-                t.parts = []
+                t.clear()
             t.add(df, n, now)
             self.state["subsumed"] = True
         return n > 0
@@ -555,45 +558,52 @@ class Engine:
                     again = self.moved_ids.join(delta.select(F.col("id").alias("leader"), "root"), "leader", "left").select("id", F.coalesce("root", "leader").alias("leader"))
                     moved = again.unionByName(moved)
                 self.moved_ids, self.state["n_moved"] = settle(moved, expect_large=self.state.get("n_moved", 0) > 20_000)
-            # Rows may hold ids that moved now, and new rows ids that moved earlier.
+            # Older rows may hold ids that moved now; those of this iteration also ids that moved earlier.
             every = self.moved_ids.select("id", F.col("leader").alias("root"))
             for t in list(self.tables.values()):
                 if t.n and (t.out.has_ids or any(s.has_ids for s in t.takes)):
-                    edges += self.canonicalize(t, every, self.state["n_moved"], now)
+                    edges += self.canonicalize(t, (delta, n), (every, self.state["n_moved"]), now)
             self.pending.globals.clear()
         return changed
 
-    def canonicalize(self, t: Table, delta: DataFrame, n: int, now: int) -> list[DataFrame]:
-        """Rename ids in a table's rows; rows that then meet are merged. Returns edges of unions."""
+    def canonicalize(self, t: Table, delta: tuple[DataFrame, int], every: tuple[DataFrame, int], now: int) -> list[DataFrame]:
+        """Rename ids in a table's rows, older ones by what moved now, new ones by all that ever moved; rows that then meet
+        are merged. Returns edges of unions."""
         sorts = dict(zip([*t.keys, *t.values], [*t.takes, t.out], strict=False))
         own = [c for c, s in sorts.items() if s.has_ids]
-        df = t.df(self.spark).select(*t.keys, *t.values, "sub")
-        if all(sorts[c].kind == "eq" for c in own):
-            d = F.broadcast(delta) if n <= BROADCAST_ROWS else delta
-            for c in own:
-                df = df.join(d.select(F.col("id").alias(c), F.col("root").alias(f"r_{c}")), c, "left")
-            hit = reduce(lambda a, b: a | b, [F.col(f"r_{c}").isNotNull() for c in own])
-            new = {c: F.coalesce(f"r_{c}", c) for c in own}
-        else:  # containers: the renaming as maps of bounded size, applied one after the other
-            new = {c: F.col(c) for c in own}
-            parts = max(1, -(-n // BROADCAST_ROWS))
-            for k in range(parts):
-                own_part = delta.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).agg(F.map_from_entries(F.collect_list(F.struct("id", "root"))).alias(f"m{k}"))
-                df = df.crossJoin(F.broadcast(own_part))
-                new = {c: renamed(v, sorts[c], F.col(f"m{k}")) for c, v in new.items()}
-            hit = reduce(lambda a, b: a | b, [~new[c].eqNullSafe(F.col(c)) for c in own])
+        sides = [(rows, moves) for (rows, n), moves in ((t.before(self.spark, now), delta), (t.since(self.spark, now), every)) if n and moves[1]]
+        if not sides:
+            return []
+        hits = [self.hit(rows.select(*t.keys, *t.values, "sub"), sorts, own, *moves) for rows, moves in sides]
+        df = reduce(DataFrame.unionByName, hits)
+        new = {c: F.col(f"new_{c}") for c in own}
         was = [F.col(c).alias(f"was_{c}") for c in t.keys]
-        df, m = settle(df.where(hit).select(*was, *[new.get(c, F.col(c)).alias(c) for c in sorts if c in [*t.keys, *t.values]], "sub"))
+        df, m = settle(df.select(*was, *[new.get(c, F.col(c)).alias(c) for c in sorts if c in [*t.keys, *t.values]], "sub"))
         if not m:
             return []
         if t.keys:
             t.remove(df.select(*[F.col(f"was_{c}").alias(c) for c in t.keys]), m)
         else:
-            t.parts = []
+            t.clear()
         t.moved = True
         rows = df.select(*t.keys, *t.values, *(["sub"] if t.kind != "custom" else []))
         return self.insert(t, rows, now)[1]
 
+    def hit(self, df: DataFrame, sorts: dict[str, Sort], own: list[str], moves: DataFrame, n: int) -> DataFrame:
+        """The rows of df that hold an id that moved, with new_ columns of what its columns become."""
+        d = F.broadcast(moves) if n <= BROADCAST_ROWS else moves
+        if all(sorts[c].kind == "eq" for c in own):
+            for c in own:
+                df = df.join(d.select(F.col("id").alias(c), F.col("root").alias(f"r_{c}")), c, "left")
+            some = df.where(reduce(lambda a, b: a | b, [F.col(f"r_{c}").isNotNull() for c in own]))
+            return some.select(*sorts, "sub", *[F.coalesce(f"r_{c}", c).alias(f"new_{c}") for c in own])
+        # containers: the moved ids of each row, joined one by one, are gathered for that row only
+        from rulespark.operators.extract import ids_in
+
+        ids = F.array_distinct(F.concat(*[ids_in(F.col(c), sorts[c]) for c in own]))
+        some = df.withColumn("id", F.explode(ids)).join(d.select("id", "root"), "id").groupBy(*sorts, "sub").agg(F.map_from_entries(F.collect_list(F.struct("id", "root"))).alias("m"))
+        return some.select(*sorts, "sub", *[renamed(F.col(c), sorts[c], F.col("m")).alias(f"new_{c}") for c in own])
+
     # ---- commands
 
     def run(self, program: str) -> list[str]:
@@ -787,7 +797,7 @@ class Engine:
     def clear(self, name: str) -> None:
         """Drop all rows of a function."""
         self.flush()
-        self.table(name).parts = []
+        self.table(name).clear()
 
     def insert_rows(self, name: str, df: DataFrame) -> bool:
         """Insert rows of a DataFrame (columns in order: keys, then a custom function's result), with merges."""
@@ -804,17 +814,22 @@ class Engine:
         """Call act with the current matches of facts; it may insert rows."""
         act(self, self.query(names, facts))
 
-    def extract(self, e: Any, n: int = 0) -> list[str]:
-        """The cheapest term equal to an expression, or n of its class, as text."""
+    def extract(self, e: Any, n: int = 0, model: Callable | None = None) -> list[str]:
+        """The cheapest term equal to an expression, or n of its class, as text. model: as of operators.extract.costs."""
         from rulespark.operators.extract import extract
 
-        return [t for _, t in extract(self, e, n)]
+        return [t for _, t in extract(self, e, n, model)]
 
-    def extract_cost(self, e: str | Any) -> int:
+    def extract_cost(self, e: str | Any, model: Callable | None = None) -> int:
         from rulespark.operators.extract import extract
         from rulespark.plans.syntax import read
 
-        return extract(self, self.parser.expr(read(e)[0]) if isinstance(e, str) else e, 0)[0][0]
+        return extract(self, self.parser.expr(read(e)[0]) if isinstance(e, str) else e, 0, model)[0][0]
+
+    def add_command(self, name: str, run: Callable[[Engine, list], None]) -> None:
+        """A command of programs: run gets the engine and what follows the name, as read."""
+        self.parser.commands.add(name)
+        self.commands[name] = lambda engine, c: run(engine, c.of)
 
     # ---- snapshots
 

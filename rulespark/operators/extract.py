@@ -77,10 +77,10 @@ def nodes(engine) -> dict[str, DataFrame]:
     return out
 
 
-def priced(engine, name: str, df: DataFrame, best: DataFrame, small: bool) -> DataFrame:
+def priced(engine, name: str, df: DataFrame, best: DataFrame, small: bool, model=None) -> DataFrame:
     """Rows of a constructor whose ids all have costs, with their cost."""
     t = engine.tables[name]
-    cost = F.lit(t.cost).cast("long")
+    cost = (F.lit(t.cost) if model is None else model(name, t.cost, [F.col(c) for c in t.keys])).cast("long")
     best = best.select("id", F.col("cost").alias("price"))
     best = F.broadcast(best) if small else best
     for c, s in zip(t.keys, t.takes, strict=True):
@@ -97,14 +97,18 @@ def priced(engine, name: str, df: DataFrame, best: DataFrame, small: bool) -> Da
     return df.select(F.col("out").alias("id"), cost.alias("cost"), F.lit(name).alias("fn"), F.to_json(F.struct(*t.keys) if t.keys else F.struct(F.lit(0).alias("_"))).alias("args"))
 
 
-def costs(engine) -> DataFrame:
-    """(id, cost, fn, args as JSON) of the cheapest row of each id that has a term."""
+def costs(engine, model=None) -> DataFrame:
+    """(id, cost, fn, args as JSON) of the cheapest row of each id that has a term.
+
+    model: a function of a constructor's name, declared cost and argument columns that gives what a row costs beside its
+    arguments, as a column that is 0 or more.
+    """
     engine.flush()
     tables = nodes(engine)
     best = engine.spark.createDataFrame([], "id long, cost long, fn string, args string")
     n = 0
     while tables:
-        found = reduce(DataFrame.unionByName, [priced(engine, f, df, best, n <= 100_000) for f, df in tables.items()])
+        found = reduce(DataFrame.unionByName, [priced(engine, f, df, best, n <= 100_000, model) for f, df in tables.items()])
         least = found.groupBy("id").agg(F.min(F.struct("cost", "fn", "args")).alias("x")).select("id", "x.*")
         old = best.select("id", F.col("cost").alias("was"), F.col("fn").alias("wfn"), F.col("args").alias("wargs"))
         both = least.join(old, "id", "left").withColumn("better", F.col("was").isNull() | (F.col("cost") < F.col("was")))
@@ -235,18 +239,18 @@ def value_of(engine, e: Any) -> tuple[Any, Sort]:
     return json.loads(row.j).get("v"), sort
 
 
-def extract(engine, e: Any, n: int) -> list[tuple[int, str]]:
+def extract(engine, e: Any, n: int, model=None) -> list[tuple[int, str]]:
     """(cost, text) of the cheapest term equal to e; with n, of the n cheapest rows of its class."""
     if isinstance(e, str):
         e = Var(e)
     value, sort = value_of(engine, e)
-    best = costs(engine)
+    best = costs(engine, model)
     terms = Terms(engine, best)
     if n and sort.kind == "eq":
         tables = {f: df.where(F.col("out") == value) for f, df in nodes(engine).items()}
         if not tables:
             return []
-        found = reduce(DataFrame.unionByName, [priced(engine, f, df, best, False) for f, df in tables.items()]).orderBy("cost", "fn", "args").limit(n).collect()
+        found = reduce(DataFrame.unionByName, [priced(engine, f, df, best, False, model) for f, df in tables.items()]).orderBy("cost", "fn", "args").limit(n).collect()
         out = []
         for r in found:
             args, t = json.loads(r.args), engine.tables[r.fn]

@@ -2,13 +2,14 @@
 constructors and relations the flag `sub` (subsumed).
 
 A table is a list of parts. New rows make a new part, so a scan of the changes since some time reads only the parts since
-then, and their sizes are known without a job. Changed rows replace older ones: those are left out of the older parts by
-an anti-join on the keys. Parts are merged when there are many.
+then, and their sizes are known without a job. A changed row is a row of a new part, and its key goes on a list of what
+scans leave out of the parts before, by an anti-join. So what an iteration writes grows with its changes, not with the
+table. Parts are merged when there are many, or when half of the rows are left out.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -16,19 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.functions.sorts import Sort
-from rulespark.operators.storage import settle
+from rulespark.operators.storage import LOCAL_ROWS, settle
 
 MOST_PARTS = 16
+#: Lists of keys that a scan leaves out, before the table is written anew.
+MOST_GONE = 8
 #: Rows of keys that are broadcast for an anti-join or a join, when a count shows that there are no more.
 BROADCAST_ROWS = 100_000
 
 
-@dataclass
+@dataclass(frozen=True)
 class Part:
+    """n rows, without those whose keys are gone; first and last: least and greatest time of its rows."""
+
     df: DataFrame
     n: int
-    first: int  # least and greatest time of its rows
+    first: int
     last: int
+    gone: tuple[tuple[DataFrame, int], ...] = ()
+
+    def view(self, keys: list[str]) -> DataFrame:
+        if not self.gone:
+            return self.df
+        some = reduce(DataFrame.unionByName, [d for d, _ in self.gone])
+        return self.df.join(F.broadcast(some) if sum(n for _, n in self.gone) <= BROADCAST_ROWS else some, keys, "left_anti")
 
 
 @dataclass
@@ -43,9 +55,10 @@ class Table:
     parts: list[Part] = field(default_factory=list)
     hidden: bool = False
     moved: bool = False  # whether some id of it isn't the hash of its row any more
+    lost: int = 0  # rows of its parts that are gone
 
     def copy(self) -> Table:
-        return Table(self.name, self.takes, self.out, self.kind, self.merge, self.cost, self.extractable, list(self.parts), self.hidden, self.moved)
+        return Table(self.name, self.takes, self.out, self.kind, self.merge, self.cost, self.extractable, list(self.parts), self.hidden, self.moved, self.lost)
 
     @property
     def keys(self) -> list[str]:
@@ -63,26 +76,29 @@ class Table:
 
     @property
     def n(self) -> int:
-        return sum(p.n for p in self.parts)
+        return sum(p.n for p in self.parts) - self.lost
+
+    def clear(self) -> None:
+        self.parts, self.lost = [], 0
 
     def empty(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], self.schema)
 
     def df(self, spark: SparkSession) -> DataFrame:
-        return reduce(DataFrame.unionByName, [p.df for p in self.parts]) if self.parts else self.empty(spark)
+        return reduce(DataFrame.unionByName, [p.view(self.keys) for p in self.parts]) if self.parts else self.empty(spark)
 
     def since(self, spark: SparkSession, ts: int) -> tuple[DataFrame, int]:
         """Rows changed at ts or later, and at most how many."""
         some = [p for p in self.parts if p.last >= ts]
         if not some:
             return self.empty(spark), 0
-        return reduce(DataFrame.unionByName, [p.df if p.first >= ts else p.df.where(F.col("ts") >= ts) for p in some]), sum(p.n for p in some)
+        return reduce(DataFrame.unionByName, [p.view(self.keys) if p.first >= ts else p.view(self.keys).where(F.col("ts") >= ts) for p in some]), min(self.n, sum(p.n for p in some))
 
     def before(self, spark: SparkSession, ts: int) -> tuple[DataFrame, int]:
         some = [p for p in self.parts if p.first < ts]
         if not some:
             return self.empty(spark), 0
-        return reduce(DataFrame.unionByName, [p.df if p.last < ts else p.df.where(F.col("ts") < ts) for p in some]), sum(p.n for p in some)
+        return reduce(DataFrame.unionByName, [p.view(self.keys) if p.last < ts else p.view(self.keys).where(F.col("ts") < ts) for p in some]), min(self.n, sum(p.n for p in some))
 
     def add(self, df: DataFrame, n: int, ts: int) -> None:
         if n:
@@ -91,18 +107,17 @@ class Table:
             self.compact()
 
     def compact(self) -> None:
+        if not self.parts:
+            return
         first, last = min(p.first for p in self.parts), max(p.last for p in self.parts)
-        df, n = settle(reduce(DataFrame.unionByName, [p.df for p in self.parts]), expect_large=self.n > 20_000)
-        self.parts = [Part(df, n, first, last)] if n else []
+        df, n = settle(reduce(DataFrame.unionByName, [p.view(self.keys) for p in self.parts]), expect_large=self.n > LOCAL_ROWS)
+        self.parts, self.lost = [Part(df, n, first, last)] if n else [], 0
 
     def remove(self, keys: DataFrame, n: int) -> None:
-        """Take out the rows with these keys (n of them at most)."""
-        keys = F.broadcast(keys) if n <= BROADCAST_ROWS else keys
-        left = []
-        for p in self.parts:
-            if not self.keys:
-                continue
-            df, m = settle(p.df.join(keys, self.keys, "left_anti"), expect_large=p.n - n > 20_000)
-            if m:
-                left.append(Part(df, m, p.first, p.last))
-        self.parts = left
+        """Take out the rows with these n keys, which the table has; keys: a table without lineage."""
+        if not n:
+            return
+        self.parts = [replace(p, gone=(*p.gone, (keys, n))) for p in self.parts]
+        self.lost += n
+        if 2 * self.lost > sum(p.n for p in self.parts) or max(len(p.gone) for p in self.parts) > MOST_GONE:
+            self.compact()

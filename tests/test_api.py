@@ -101,6 +101,10 @@ def interpret(edges, unions, steps):
     return len(edge), len(path)
 
 
+def saturated(edges, unions):
+    return interpret(edges, unions, 20)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_random_graphs_modulo_equality(spark, seed):
     rng = random.Random(seed)
@@ -115,6 +119,8 @@ def test_random_graphs_modulo_equality(spark, seed):
         sizes.add((e.size("edge"), e.size("path")))
     # naive and seminaive see edges in the same iterations
     assert len(sizes) == 1 and sizes.pop()[0] == interpret(edges, unions, 4)[0]
+    e.run("(run-schedule (saturate (run)))")
+    assert (e.size("edge"), e.size("path")) == saturated(edges, unions)
 
 
 def test_large_tables_are_written(spark, monkeypatch):
