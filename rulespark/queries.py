@@ -235,10 +235,11 @@ def tc_conversation(d: Data) -> DataFrame:
     return _turns(d).run("(run-schedule (saturate (run)))").rows("path", "c x y")
 
 
-@query("SELECT 0::BIGINT AS differing")
+@query(_CLOSURE + "SELECT c, x, y, 2::BIGINT AS times FROM p")
 def tc_seminaive_eq_naive(d: Data) -> DataFrame:
+    """Each path, and in how many of a seminaive and a naive run it is."""
     fast, plain = (_turns(Data(d.spark, d.sf_dir, seminaive=s)).run("(run-schedule (saturate (run)))").rows("path", "c x y") for s in (True, False))
-    return fast.exceptAll(plain).unionAll(plain.exceptAll(fast)).agg(F.count(F.lit(1)).alias("differing"))
+    return fast.unionAll(plain).groupBy("c", "x", "y").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query(_CLOSURE + "SELECT * FROM p WHERE y - x <= 2")
@@ -251,22 +252,9 @@ def run_until(d: Data) -> DataFrame:
     return _turns(d).run("(run 100 :until (path c x y) (= y (+ x 3)))").rows("path", "c x y")
 
 
-@query("SELECT DISTINCT a.n_nationkey::BIGINT AS a, b.n_nationkey::BIGINT AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey <> b.n_nationkey UNION SELECT DISTINCT 1000 + c_custkey, 2000000 + s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey < 50 AND s_suppkey < 50")
-def same_generation(d: Data) -> DataFrame:
-    d.bind("nation", "nation", "n_nationkey n_regionkey").bind("customer", "customer", "c_custkey c_nationkey").bind("supplier", "supplier", "s_suppkey s_nationkey")
-    d.run(
-        "(relation parent (i64 i64)) (relation sg (i64 i64)) (ruleset start)"
-        "(rule ((nation k r)) ((parent k (- -1 r))) :ruleset start)"
-        "(rule ((customer c n) (< c 50)) ((parent (+ 1000 c) (- -1000 n))) :ruleset start) (rule ((supplier s n) (< s 50)) ((parent (+ 2000000 s) (- -1000 n))) :ruleset start)"
-        "(rule ((parent x p) (parent y p) (< x 1000) (< y 1000) (!= x y)) ((sg x y))) (rule ((parent x p) (parent y p) (> x 999) (< x 2000000) (> y 1999999)) ((sg x y)))"
-        "(run start 1) (run-schedule (saturate (run)))"
-    )
-    return d.rows("sg", "a b")
-
-
 @query("SELECT 'nation' AS a_is, a.n_nationkey::BIGINT AS a, 'nation' AS b_is, b.n_nationkey::BIGINT AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey <> b.n_nationkey UNION SELECT 'customer', c_custkey, 'supplier', s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
-def same_generation_whole(d: Data) -> DataFrame:
-    """As same_generation, over all customers and suppliers, which a tag tells apart."""
+def same_generation(d: Data) -> DataFrame:
+    """Nations of one region, and customers and suppliers of one nation; a tag tells them apart."""
     d.bind("nation", "nation", "n_nationkey n_regionkey").bind("customer", "customer", "c_custkey c_nationkey").bind("supplier", "supplier", "s_suppkey s_nationkey")
     d.run(
         "(relation parent (String i64 String i64)) (relation sg (String i64 String i64)) (ruleset start)"
@@ -278,20 +266,9 @@ def same_generation_whole(d: Data) -> DataFrame:
     return d.rows("sg", "a_is a b_is b")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity >= 49), r AS (SELECT 0::BIGINT AS n, s, 0::BIGINT AS k FROM (SELECT min(s) AS s FROM e) UNION SELECT 1 - n, CASE WHEN n = 0 THEN e.p ELSE e.s END, k + 1 FROM r JOIN e ON (n = 0 AND e.s = r.s OR n = 1 AND e.p = r.s) WHERE k < 4) SELECT n, s AS v, min(k) AS hops FROM r GROUP BY ALL")
+#: Breadth first, by levels; no graph of these tables is as deep as the bound, which only ends the recursion.
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), r AS (SELECT 0::BIGINT AS n, min(s) AS v, 0::BIGINT AS k FROM e UNION SELECT 1 - n, CASE WHEN n = 0 THEN e.p ELSE e.s END, k + 1 FROM r JOIN e ON (n = 0 AND e.s = r.v OR n = 1 AND e.p = r.v) WHERE k < 40) SELECT n, v, min(k) AS hops FROM r GROUP BY ALL")
 def shortest_hops(d: Data) -> DataFrame:
-    edges = d.table("lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
-    d.engine.bind("e", edges)
-    first = edges.agg(F.min("l_suppkey")).head()[0]
-    d.run(
-        f"(function hops (i64 i64) i64 :merge (min old new)) (set (hops 0 {first}) 0)"
-        "(rule ((= k (hops 0 s)) (e p s)) ((set (hops 1 p) (+ k 1)))) (rule ((= k (hops 1 p)) (e p s)) ((set (hops 0 s) (+ k 1)))) (run 4)"
-    )
-    return d.rows("hops", "n v hops")
-
-
-@query()
-def shortest_hops_whole(d: Data) -> DataFrame:
     """Hops from the least supplier to all parts (n = 1) and suppliers (n = 0) that it reaches over all lines."""
     d.bind("e", "lineitem", "l_partkey l_suppkey", unique=False)
     first = d.table("lineitem").agg(F.min("l_suppkey")).head()[0]
@@ -328,15 +305,8 @@ def components_minid(d: Data) -> DataFrame:
     return d.ask("d least", "(= x (D d)) (= least (least x))")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, 1000000000 + l_suppkey AS s FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09), b AS (SELECT p AS x, s AS y FROM e UNION SELECT s, p FROM e), r AS (SELECT x, x AS y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y) SELECT x, min(y) AS root FROM r GROUP BY 1")
-def components_chain(d: Data) -> DataFrame:
-    d.engine.bind("e", d.table("lineitem").where("l_quantity >= 50 AND l_discount >= 0.09").select("l_partkey", (F.col("l_suppkey") + 1_000_000_000).alias("s")))
-    d.run("(datatype V (N i64)) (function root (V) i64 :merge (min old new)) (ruleset name) (rule ((e p s)) ((union (N p) (N s)))) (rule ((= v (N i))) ((set (root v) i)) :ruleset name) (run 1) (run name 1)")
-    return d.ask("x root", "(= v (N x)) (= root (root v))")
-
-
 @query()
-def components_chain_whole(d: Data) -> DataFrame:
+def components_chain(d: Data) -> DataFrame:
     """The component of each part and supplier, over all lines, named by its least part."""
     d.bind("e", "lineitem", "l_partkey l_suppkey", unique=False)
     d.run("(datatype V (P i64) (S i64)) (function root (V) i64 :merge (min old new)) (ruleset name) (rule ((e p s)) ((union (P p) (S s)))) (rule ((= v (P i))) ((set (root v) i)) :ruleset name) (run 1) (run name 1)")
@@ -344,11 +314,13 @@ def components_chain_whole(d: Data) -> DataFrame:
     return parts.unionAll(suppliers)
 
 
-@query("SELECT count(DISTINCT n_regionkey)::BIGINT AS classes, count(*)::BIGINT AS terms FROM nation")
+@query("SELECT a.c_custkey AS a, min(b.c_custkey) AS least FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY 1")
 def congruence(d: Data) -> DataFrame:
-    d.bind("nation", "nation", "n_nationkey n_regionkey")
-    d.run("(datatype V (N i64) (R i64) (F V)) (rule ((nation k r)) ((F (N k)))) (run 1) (ruleset unite) (rule ((nation k r)) ((union (N k) (R r))) :ruleset unite) (run unite 1)")
-    return d.ask("f k", "(= f (F v)) (= v (N k))").agg(F.countDistinct("f").alias("classes"), F.count(F.lit(1)).alias("terms"))
+    """Customers whose terms F(N(k)) are one once the N(k) of a nation are; each with the least of its class."""
+    d.bind("customer", "customer", "c_custkey c_nationkey")
+    d.run("(datatype V (N i64) (R i64) (F V)) (function least (V) i64 :merge (min old new)) (ruleset unite) (ruleset name) (rule ((customer k r)) ((F (N k)))) (run 1)")
+    d.run("(rule ((customer k r)) ((union (N k) (R r))) :ruleset unite) (rule ((customer k r) (= f (F v)) (= v (R r))) ((set (least f) k)) :ruleset name) (run unite 1) (run name 1)")
+    return d.ask("a least", "(customer a r) (= v (N a)) (= f (F v)) (= least (least f))")
 
 
 @query("SELECT count(*)::BIGINT AS terms, count(DISTINCT p_brand)::BIGINT AS brands FROM (SELECT DISTINCT p_brand, p_type FROM part)")
@@ -358,16 +330,8 @@ def mint_ids_count(d: Data) -> DataFrame:
     return d.ask("k b", "(= k (K b t))").agg(F.countDistinct("k").alias("terms"), F.countDistinct("b").alias("brands"))
 
 
-@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09")
-def rewrite_commute(d: Data) -> DataFrame:
-    d.engine.bind("e", d.table("lineitem").where("l_quantity >= 50 AND l_discount >= 0.09").select("l_partkey", "l_suppkey"))
-    d.run("(datatype V (Pair2 i64 i64)) (rewrite (Pair2 a b) (Pair2 b a)) (rule ((e p s)) ((Pair2 p s))) (run 2)")
-    return d.ask("v a b", "(= v (Pair2 a b)) (= v (Pair2 b a)) (<= a b)").select("a", "b").distinct()
-
-
 @query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem")
-def rewrite_commute_whole(d: Data) -> DataFrame:
-    """As rewrite_commute, over all lines."""
+def rewrite_commute(d: Data) -> DataFrame:
     d.bind("e", "lineitem", "l_partkey l_suppkey", unique=False)
     d.run("(datatype V (Pair2 i64 i64)) (rewrite (Pair2 a b) (Pair2 b a)) (rule ((e p s)) ((Pair2 p s))) (run 2)")
     return d.ask("v a b", "(= v (Pair2 a b)) (= v (Pair2 b a)) (<= a b)").select("a", "b").distinct()
@@ -436,21 +400,14 @@ def prim_bool(d: Data) -> DataFrame:
     return d.ask("o a b x i", "(flags o p q) (= a (and p q)) (= b (or p q)) (= x (xor p q)) (= i (=> p q))")
 
 
-@query("SELECT doc_id AS d, length(replace(text, 'the', 'a'))::BIGINT AS n, ((length(text) - length(replace(text, 'the', ''))) / 3)::BIGINT AS k, source || ':' || lang AS s FROM documents")
+@query("SELECT doc_id AS d, md5(replace(text, 'the', 'a')) AS h, ((length(text) - length(replace(text, 'the', ''))) / 3)::BIGINT AS k, source || ':' || lang AS s FROM documents")
 def prim_string(d: Data) -> DataFrame:
     found = d.bind("doc", "documents", "doc_id text source lang").ask("d r k s", '(doc d t o l) (= r (replace t "the" "a")) (= k (count-matches t "the")) (= s (+ o ":" l))')
-    return found.select("d", F.length("r").cast("long").alias("n"), "k", "s")
-
-
-@query("SELECT DISTINCT l_orderkey AS o, l_partkey AS p, (l_orderkey::HUGEINT * l_partkey * l_partkey * 1000003)::VARCHAR AS m, ((l_orderkey * 7)::HUGEINT // l_partkey)::VARCHAR AS q FROM lineitem WHERE l_quantity >= 49 AND l_partkey <> 0")
-def prim_bigint(d: Data) -> DataFrame:
-    d.engine.bind("line", d.table("lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey"))
-    return d.ask("o p m q", "(line o p) (= b (bigint p)) (= m1 (* (* (* (bigint o) b) b) (bigint 1000003))) (= m (to-string m1)) (= q1 (/ (* (bigint o) (bigint 7)) b)) (= q (to-string q1))")
+    return found.select("d", F.md5("r").alias("h"), "k", "s")
 
 
 @query("SELECT DISTINCT l_orderkey AS o, l_partkey AS p, (l_orderkey::HUGEINT * l_partkey * l_partkey * 1000003)::VARCHAR AS m, ((l_orderkey * 7)::HUGEINT // l_partkey)::VARCHAR AS q FROM lineitem WHERE l_partkey <> 0")
-def prim_bigint_whole(d: Data) -> DataFrame:
-    """As prim_bigint, over all lines."""
+def prim_bigint(d: Data) -> DataFrame:
     d.bind("line", "lineitem", "l_orderkey l_partkey", unique=False)
     return d.ask("o p m q", "(line o p) (= b (bigint p)) (= m1 (* (* (* (bigint o) b) b) (bigint 1000003))) (= m (to-string m1)) (= q1 (/ (* (bigint o) (bigint 7)) b)) (= q (to-string q1))")
 
@@ -503,6 +460,168 @@ def fn_map(d: Data) -> DataFrame:
     return d.rows("out", "e a")
 
 
+# ---- more of each kind
+
+
+@query("SELECT o_orderkey AS o, round(ln(o_totalprice), 6) AS l, round(exp(o_totalprice / 1000000.0::DOUBLE), 6) AS e, round(pow(o_totalprice / 1000.0::DOUBLE, 2.0), 4) AS q, abs(-o_totalprice) AS a, greatest(o_totalprice, 90000.5::DOUBLE) AS m, o_totalprice % 7.0::DOUBLE AS r, o_custkey::DOUBLE AS f, o_totalprice::VARCHAR AS s FROM orders WHERE o_totalprice > 1000.0 AND o_totalprice <= 400000.0")
+def prim_f64_functions(d: Data) -> DataFrame:
+    found = d.bind("orders", "orders", "o_orderkey o_custkey o_totalprice").ask(
+        "o l e q a m r f s",
+        "(orders o c p) (> p 1000.0) (<= p 400000.0) (= l (log p)) (= e (exp (/ p 1000000.0))) (= q (^ (/ p 1000.0) 2.0)) (= a (abs (neg p))) (= m (max p 90000.5)) (= r (% p 7.0)) (= f (to-f64 c)) (= s (to-string p))",
+    )
+    return found.withColumns({"l": F.round("l", 6), "e": F.round("e", 6), "q": F.round("q", 4)})
+
+
+@query("SELECT o_orderkey AS o, (o_orderkey::HUGEINT & o_custkey)::VARCHAR AS a, (o_orderkey::HUGEINT | o_custkey)::VARCHAR AS b, xor(o_orderkey, o_custkey)::VARCHAR AS x, (-o_orderkey::HUGEINT - 1)::VARCHAR AS n, (o_orderkey::HUGEINT * 1099511627776)::VARCHAR AS l, (o_orderkey // 4)::VARCHAR AS r, length(ltrim(bin(o_orderkey), '0'))::VARCHAR AS w, least(o_orderkey, o_custkey)::VARCHAR AS m, o_orderkey <= o_custkey AS c FROM orders WHERE o_orderkey > 0")
+def prim_bigint_bits(d: Data) -> DataFrame:
+    return d.bind("orders", "orders", "o_orderkey o_custkey").ask(
+        "o a b x n l r w m c",
+        "(orders o k) (= i (bigint o)) (= j (bigint k)) (> i (bigint 0)) (= a (to-string (& i j))) (= b (to-string (| i j))) (= x (to-string (^ i j))) (= n (to-string (not-Z i)))"
+        "(= l (to-string (<< i 40))) (= r (to-string (>> i 2))) (= w (to-string (bits i))) (= m (to-string (min i j))) (= c (bool-<= i j)) (= i (from-string (to-string i)))",
+    )
+
+
+_RATIONAL = "SELECT o_orderkey AS o, (o_orderkey + 1)::HUGEINT AS a, (o_custkey + 2)::HUGEINT AS b FROM orders"
+
+
+@query(
+    f"SELECT o, ((2 * a + b) // gcd(2 * a + b, 2 * b))::VARCHAR AS sn, (2 * b // gcd(2 * a + b, 2 * b))::VARCHAR AS sd, ((2 * a - b) // gcd(abs(2 * a - b), 2 * b))::VARCHAR AS dn, (3 * a // gcd(3 * a, b))::VARCHAR AS pn, (a // gcd(a, 3 * b))::VARCHAR AS qn,"
+    f" (a // b)::VARCHAR AS f, ((a + b - 1) // b)::VARCHAR AS c, ((2 * a + b) // (2 * b))::VARCHAR AS r, (-(a // gcd(a, b)))::VARCHAR AS g, (a * a // gcd(a * a, b * b))::VARCHAR AS w, round(a::DOUBLE / b::DOUBLE, 6) AS t, (a // b)::BIGINT AS i FROM ({_RATIONAL}) WHERE a > b"
+)
+def prim_bigrat_arith(d: Data) -> DataFrame:
+    found = d.bind("orders", "orders", "o_orderkey o_custkey").ask(
+        "o sn sd dn pn qn f c r g w t i",
+        "(orders o k) (= one (bigrat (bigint 1) (bigint 1))) (= q (bigrat (bigint (+ o 1)) (bigint (+ k 2)))) (> q one) (= half (bigrat (bigint 1) (bigint 2))) (= three (bigrat (bigint 3) (bigint 1))) (= two (bigrat (bigint 2) (bigint 1)))"
+        "(= s (+ q half)) (= sn (to-string (numer s))) (= sd (to-string (denom s))) (= dn (to-string (numer (- q half)))) (= pn (to-string (numer (* q three)))) (= qn (to-string (numer (/ q three))))"
+        "(= f (to-string (numer (floor q)))) (= c (to-string (numer (ceil q)))) (= r (to-string (numer (round q)))) (= g (to-string (numer (neg (abs q))))) (= w (to-string (numer (pow q two)))) (= t (to-f64 q)) (= i (to-i64 q))",
+    )
+    return found.withColumn("t", F.round("t", 6))
+
+
+@query("SELECT o_orderkey AS o, NOT (o_totalprice > 200000) AS n, least(o_orderkey, o_custkey) AS a, greatest(o_orderstatus, 'G') AS b FROM orders WHERE o_totalprice > 100000 AND o_orderkey <> o_custkey")
+def prim_guard_ordering(d: Data) -> DataFrame:
+    d.engine.bind("flags", d.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", (F.col("o_totalprice") > 200000).alias("p"), (F.col("o_totalprice") > 100000).alias("q")), unique=True)
+    return d.ask("o n a b", '(flags o c s p q) (guard q) (= n (not p)) (= a (ordering-min o c)) (= b (ordering-max s "G")) (!= o c) (value-eq o o)')
+
+
+@query("SELECT event_id AS e, 5::BIGINT AS n, user_id AS x, 3::BIGINT AS r, 2::BIGINT AS l FROM events WHERE user_id <> event_id")
+def vec_more(d: Data) -> DataFrame:
+    _events(d, "(sort V (Vec i64))")
+    return d.ask("e n x r l", "(event e u t) (= v (vec-append (vec-of e u) (vec-range 3))) (= n (vec-length v)) (= x (vec-get v 1)) (= r (vec-length (vec-range 3))) (= l (vec-get v 4)) (vec-contains v u) (vec-not-contains (vec-of e) u)")
+
+
+@query("SELECT event_id AS e, CASE WHEN user_id = 1 THEN 2 ELSE 3 END::BIGINT AS n, CASE WHEN user_id = 1 THEN 1 ELSE 0 END::BIGINT AS i, CASE WHEN user_id = 1 THEN 1 ELSE 2 END::BIGINT AS d FROM events WHERE user_id <> 7 AND user_id <> 2")
+def set_more(d: Data) -> DataFrame:
+    _events(d, "(sort S (Set i64))")
+    return d.ask("e n i d", "(event e u t) (= s (set-of 1 2)) (= o (set-of u)) (= n (set-length (set-union s o))) (= i (set-length (set-intersect s o))) (= d (set-length (set-diff s o))) (set-not-contains (set-remove s 1) 1) (set-not-contains o 7) (!= u 2)")
+
+
+@query("SELECT event_id AS e, CASE WHEN event_id = user_id THEN 'b' ELSE 'a' END AS a, CASE WHEN event_id = user_id THEN 1 ELSE 2 END::BIGINT AS n FROM events")
+def map_of_pairs(d: Data) -> DataFrame:
+    _events(d, "(sort M (Map i64 String))")
+    return d.ask("e a n", '(event e u t) (= m (map-of e "a" u "b")) (= a (map-get m e)) (= n (map-length m)) (map-contains m u)')
+
+
+@query("SELECT event_id AS e, 5::BIGINT AS n, CASE WHEN user_id = 3 THEN 4 ELSE 2 END::BIGINT AS c, 2::BIGINT AS i, CASE WHEN user_id = 3 THEN 1 ELSE 2 END::BIGINT AS k, CASE WHEN user_id = 3 THEN 2 ELSE 1 END::BIGINT AS r, CASE WHEN user_id < 3 THEN user_id ELSE 3 END AS p FROM events")
+def multiset_more(d: Data) -> DataFrame:
+    _events(d, "(sort B (MultiSet i64))")
+    return d.ask(
+        "e n c i k r p",
+        "(event e u t) (= a (multiset-of 3 3 u)) (= b (multiset-of u 9)) (= s (multiset-sum a b)) (= n (multiset-length s)) (= c (multiset-count s 3)) (= i (multiset-length (multiset-intersection a (multiset-of u 3))))"
+        "(= k (multiset-length (multiset-reset-counts a))) (= r (multiset-count (multiset-remove a 3) 3)) (= p (multiset-pick a)) (multiset-contains s 9) (= (multiset-subtract s b) a)",
+    )
+
+
+@query("SELECT event_id AS e, 2 * user_id + 10 AS s, CASE WHEN user_id > 50 THEN 1 ELSE 0 END::BIGINT AS n, 2::BIGINT AS c FROM events WHERE user_id <> 5")
+def multiset_functions(d: Data) -> DataFrame:
+    _events(d, "(sort B (MultiSet i64)) (sort F1 (UnstableFn (i64) i64)) (sort F2 (UnstableFn (i64 i64) i64)) (sort P1 (UnstableFn (i64) bool)) (relation fns (F1 F2 P1)) (relation out (i64 i64 i64 i64))")
+    d.run(
+        '(fns (unstable-fn "*" 2) (unstable-fn "+") (unstable-fn "bool-<" 50))'
+        "(rule ((event e u t) (!= u 5) (fns f g h)) ((let m (unstable-multiset-map f (multiset-of u 5))) (out e (unstable-multiset-reduce g 0 m) (multiset-length (unstable-multiset-filter h (multiset-of u))) (multiset-length m)))) (run 1)"
+    )
+    return d.rows("out", "e s n c")
+
+
+@query("SELECT o_custkey AS c, 1::BIGINT AS first, 2::BIGINT AS last FROM orders GROUP BY 1")
+def merge_old_new(d: Data) -> DataFrame:
+    """What was written first, and what last, by two rulesets after each other."""
+    d.bind("orders", "orders", "o_orderkey o_custkey")
+    d.run("(function a (i64) i64 :merge old) (function b (i64) i64 :merge new) (ruleset one) (ruleset two) (rule ((orders o c)) ((set (a c) 1) (set (b c) 1)) :ruleset one) (rule ((orders o c)) ((set (a c) 2) (set (b c) 2)) :ruleset two) (run-schedule one two)")
+    return d.ask("c first last", "(= first (a c)) (= last (b c))")
+
+
+@query("SELECT c, count(*)::BIGINT AS n, sum(p)::BIGINT AS total FROM (SELECT DISTINCT o_custkey AS c, floor(o_totalprice / 50000)::BIGINT AS p FROM orders) GROUP BY 1")
+def merge_by_terms(d: Data) -> DataFrame:
+    """Values that meet become a term (Both old new); its leaves are the distinct values."""
+    d.engine.bind("orders", d.table("orders").select("o_custkey", F.floor(F.col("o_totalprice") / 50000).alias("p")))
+    d.run(
+        "(datatype T (Leaf i64) (Both T T)) (function f (i64) T :merge (Both old new)) (relation in (i64 T)) (relation leaf (i64 i64)) (ruleset down)"
+        "(rule ((orders c p)) ((set (f c) (Leaf p)))) (rule ((= t (f c))) ((in c t)) :ruleset down) (rule ((in c t) (= t (Both a b))) ((in c a) (in c b)) :ruleset down) (rule ((in c t) (= t (Leaf p))) ((leaf c p)) :ruleset down)"
+        "(run 1) (run-schedule (saturate (run down)))"
+    )
+    return d.rows("leaf", "c p").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"))
+
+
+@query("SELECT DISTINCT p_brand AS b, p_size::BIGINT AS n FROM part")
+def birewrite_both_ways(d: Data) -> DataFrame:
+    """Terms of either form have one of the other form in their class."""
+    d.bind("part", "part", "p_partkey p_brand p_size")
+    d.run("(datatype V (A String i64) (B i64 String)) (birewrite (A x y) (B y x)) (ruleset fill) (rule ((part p b n) (< n 25)) ((A b n)) :ruleset fill) (rule ((part p b n) (>= n 25)) ((B n b)) :ruleset fill) (run fill 1) (run 2)")
+    return d.ask("b n", "(= v (A b n)) (= v (B n b))")
+
+
+@query("SELECT c_custkey AS c, n_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def lookup_in_head(d: Data) -> DataFrame:
+    """A rule's action looks a function up for each match."""
+    d.bind("customer", "customer", "c_custkey c_nationkey").bind("name-of", "nation", "n_nationkey n_name", out="n_name")
+    d.run("(relation lives (i64 String)) (rule ((customer c n)) ((lives c (name-of n))) :naive) (run 1)")
+    return d.rows("lives", "c name")
+
+
+@query("SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem")
+def insert_rows_in_bulk(d: Data) -> DataFrame:
+    """Rows of a table, most of them repeated, inserted into a relation in two parts."""
+    d.run("(relation sold (i64 i64))")
+    lines = d.table("lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
+    for few in (True, False):
+        d.engine.insert_rows("sold", lines.where((F.col("l_linenumber") <= 2) == few).drop("l_linenumber"))
+    return d.rows("sold", "p s")
+
+
+@query("SELECT DISTINCT o_custkey AS c FROM orders WHERE o_totalprice > 200000 ORDER BY 1")
+def backoff_schedule(d: Data) -> DataFrame:
+    """A rule that a scheduler holds back and lets run again until nothing is left."""
+    from rulespark.schedulers import Backoff, run_with
+
+    d.bind("orders", "orders", "o_orderkey o_custkey o_totalprice")
+    d.run("(relation good (i64)) (rule ((orders o c p) (> p 200000.0)) ((good c)))")
+    run_with(d.engine, Backoff(limit=100, ban=1), 30)
+    return d.rows("good", "c")
+
+
+@query("SELECT 'role' AS name, count(DISTINCT role)::BIGINT AS n FROM conversations UNION ALL SELECT 'said', count(*) FROM (SELECT DISTINCT conv_id, role FROM conversations) UNION ALL SELECT 'status', count(DISTINCT nullif(o_orderstatus, 'P')) FROM orders")
+def print_size_distinct(d: Data) -> DataFrame:
+    """Sizes of relations of columns that repeat, and that hold nulls."""
+    d.bind("role", "conversations", "role", unique=False).bind("said", "conversations", "conv_id role", unique=False)
+    d.engine.bind("status", d.table("orders").select(F.expr("nullif(o_orderstatus, 'P')").alias("s")))
+    return d.spark.createDataFrame([(n, int(d.engine.print_size(n))) for n in ("role", "said", "status")], "name string, n long")
+
+
+@query("SELECT s_suppkey AS s, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'fair' END AS k, (CASE WHEN s_acctbal < 0 THEN 2 ELSE 4 END)::BIGINT AS cost FROM supplier")
+def extract_container_cost(d: Data) -> DataFrame:
+    """Costs of terms over vectors: a constructor's own, and the sum of the elements'."""
+    from rulespark.operators.extract import costs
+
+    d.bind("supplier", "supplier", "s_suppkey s_acctbal")
+    d.run(
+        '(datatype* (T (Name String) (Row V)) (sort V (Vec T)) (Tag (Of i64 T)))'
+        '(rule ((supplier s b) (< b 0.0)) ((Of s (Row (vec-of (Name "debt")))) (union (Of s (Row (vec-of (Name "debt")))) (Of s (Name "debt"))))) (rule ((supplier s b) (>= b 0.0)) ((Of s (Row (vec-of (Name "fair")))))) (run 1)'
+    )
+    best = costs(d.engine).select(F.col("id").alias("t"), "cost")
+    found = d.ask("s t k", "(= x (Of s t)) (= t (Name k))").unionAll(d.ask("s t k", "(= x (Of s t)) (= t (Row v)) (= n (vec-get v 0)) (= n (Name k))"))
+    return found.join(best, "t").groupBy("s", "k").agg((F.min("cost")).alias("cost")).withColumn("cost", F.when(F.col("k") == "fair", F.col("cost") + 1).otherwise(F.col("cost")))
+
+
 # ---- output
 
 
