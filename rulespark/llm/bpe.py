@@ -34,6 +34,8 @@ from rulespark.llm.common import mix, pieces
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Bytes of a piece, beyond which a heap takes the place of a matrix.
 LONG = 256
+#: Bytes of a generation of cached segments.
+CACHED = 32 << 20
 #: A rank that no pair has.
 NONE = np.int32(2**31 - 1)
 
@@ -94,6 +96,11 @@ class Ranks:
                 self._by_matrix([found[i] for i in rows[start : start + step]], rows[start : start + step], sizes, int(width), out)
         return out
 
+    def decode(self, found: list[bytes | None]) -> list[bytes]:
+        """The bytes that each row of ids stands for; none for null."""
+        token = self.tokens.__getitem__
+        return [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in found]
+
     def _by_matrix(self, found: list[bytes], rows: np.ndarray, sizes: np.ndarray, width: int, out: list[bytes]) -> None:
         ids = np.full((len(found), width), -1, np.int32)
         ids[np.arange(width) < sizes[rows][:, None]] = self.byte[np.frombuffer(b"".join(found), np.uint8)]
@@ -280,19 +287,25 @@ def held(owner: str, key: tuple, make: Callable):
     return _HELD[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and ids, a binary of little-endian unsigned 32-bit ids, for each row of docs."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
+    """id_col and ids, a binary of little-endian unsigned 32-bit ids, for each row of docs.
+
+    decoded_col: a column of the bytes that the ids stand for, decoded from them in the same worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held("bpe", ("encode", ranks_path, pattern), lambda: Segments(split_resolver(held("bpe", ("ranks", ranks_path), lambda: Ranks(ranks_path)), pattern)))
+        ranks = held("bpe", ("ranks", ranks_path), lambda: Ranks(ranks_path))
+        encoder = held("bpe", ("encode", ranks_path, pattern), lambda: Segments(split_resolver(ranks, pattern), CACHED))
         for batch in batches:
             for start, end in pieces(batch, "_text", 1_000_000):
-                ids = pa.array(encoder.encode(texts_of(batch.column(1).slice(start, end - start))), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), ids], names=[id_col, "ids"])
+                ids = encoder.encode(texts_of(batch.column(1).slice(start, end - start)))
+                columns = [pa.array(ids, pa.binary()), *([pa.array(ranks.decode(ids), pa.binary())] if decoded_col else [])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), *columns], names=names)
 
     bounded_batches(docs.sparkSession)
+    names = [id_col, "ids", *([decoded_col] if decoded_col else [])]
     lean = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("_text"))
-    return lean.mapInArrow(tidy(run), lean.select(id_col, F.lit(b"").alias("ids")).schema)
+    return lean.mapInArrow(tidy(run), lean.select(id_col, *[F.lit(b"").alias(c) for c in names[1:]]).schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -301,13 +314,12 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
     at = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = held("bpe", ("ranks", ranks_path), lambda: Ranks(ranks_path)).tokens.__getitem__
+        ranks = held("bpe", ("ranks", ranks_path), lambda: Ranks(ranks_path))
         for batch in batches:
             step = max(1, len(batch) * 4_000_000 // max(1, batch.column(at).nbytes))
             for start in range(0, len(batch), step):
                 part = batch.slice(start, step)
-                text = [b"".join(map(tokens, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.binary())], names=[*kept, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ranks.decode(part.column(at).to_pylist()), pa.binary())], names=[*kept, out_col])
 
     lean = encoded.select(*kept)
     return lean.mapInArrow(tidy(run), lean.withColumn(out_col, F.lit(b"")).schema)

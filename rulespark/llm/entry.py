@@ -15,7 +15,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
     path = vocabularies.path("byte_bpe_50k.tiktoken")
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, vocabularies.PATTERN), path)
+    found = bpe.encode(table(spark, sf_dir, "documents"), path, vocabularies.PATTERN, decoded_col="decoded")
     n = F.expr("length(ids) div 4").alias("n_tokens")
     return found.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -43,9 +43,35 @@ def test_bpe_on_messy_rows(messy, nothing, reference):
     assert Counter((r.doc_id, bytes(r.decoded)) for r in found) == want
     for r in found:
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == reference.encode_ordinary(bytes(r.decoded).decode())
+    both = bpe.encode(messy, RANKS, vocabularies.PATTERN, decoded_col="text").collect()
+    assert Counter((r.doc_id, bytes(r.ids), bytes(r.text)) for r in both) == Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in found)
     assert bpe.decode(bpe.encode(nothing, RANKS, vocabularies.PATTERN), RANKS).count() == 0
 
 
+def test_bpe_query(spark, tmp_path, messy, reference):
+    from rulespark.llm.entry import op1_byte_bpe
+
+    messy.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for r in messy.collect():
+        ids = reference.encode_ordinary(r.text or "")
+        want[r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op1_byte_bpe(spark, str(tmp_path)).collect()) == want
+
+
+def test_records_query(spark, tmp_path, messy):
+    from rulespark.llm.entry import op2_binary_records
+
+    rows = [(i, r.text) for i, r in enumerate(messy.collect())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer, start, want = Tokenizer.from_file(JSON), 0, []
+    for i, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in op2_binary_records(spark, str(tmp_path)).collect()) == want
+
+
 def test_records_round_trip(spark, messy, nothing):
     tokenizer = Tokenizer.from_file(JSON)
     folder = records.write_records(messy, JSON, end_id=2, shards=3)
