@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
     path = vocabularies.path("byte_bpe_50k.tiktoken")
-    found = bpe.decode(bpe.encode(docs, path, vocabularies.PATTERN), path)
+    found = bpe.encode(docs, path, vocabularies.PATTERN, decoded_col="decoded")
     return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
