@@ -422,6 +422,56 @@ def test_pages(spark, model):
     assert found == {r[0]: r[3] for r in rows}
 
 
+def plain_fusion(model, rows, strength=10.0, prior_unknown=0.001):
+    """(language, confidence) of pages (id, host, declared, text), sum by sum."""
+    names = [*model.languages, "und"]
+    n, said = len(names), {}
+    for i, host, told, text in rows:
+        likely = [0.0] * n
+        for w in text.encode().split():
+            likely = [a + float(b) for a, b in zip(likely, model.rows([w])[0], strict=True)]
+        likely = [x - max(likely) for x in likely]
+        whole = sum(map(math.exp, likely))
+        said[i] = likely, [math.exp(x) / whole for x in likely], host, ".".join(host.split(".")[-2:]), host.split(".")[-1], names.index(told) if told in names[:-1] else n - 1
+
+    def total(which, value):
+        return [sum(p[k] for _, p, *where in said.values() if where[which] == value) for k in range(n)]
+
+    every = [sum(p[k] for _, p, *_ in said.values()) + 1.0 for k in range(n)]
+    base = [x / sum(every[:-1]) * (1 - prior_unknown) for x in every[:-1]] + [prior_unknown]
+    table = [[total(3, d)[k] + 0.5 for k in range(n)] for d in range(n)]
+    out = {}
+    for i, (likely, p, host, domain, suffix, told) in said.items():
+        of_domain, of_host, of_suffix = total(1, domain), total(0, host), total(2, suffix)
+        outer = [(of_domain[k] + strength * base[k]) / (sum(of_domain) + strength) for k in range(n)]
+        others = [max(of_host[k] - p[k], 0.0) for k in range(n)]
+        score = []
+        for k in range(n):
+            prior = (others[k] + strength * outer[k]) / (sum(others) + strength)
+            by_suffix = (of_suffix[k] + 10 * sum(of_suffix) / sum(every)) / (every[k] + 10)
+            score.append(likely[k] + math.log(prior) + math.log(table[told][k] / sum(row[k] for row in table)) + math.log(by_suffix))
+        best = max(score)
+        out[i] = names[score.index(best)], 1 / sum(math.exp(x - best) for x in score)
+    return out
+
+
+def test_fusion_equals_plain_sums(spark, model):
+    rng, rows, pages = random.Random(11), [], []
+    for i in range(80):
+        lang, host = rng.choice(list(WORDS)), f"h{rng.randrange(4)}.s{rng.randrange(2)}.{rng.choice(['de', 'com'])}"
+        told = rng.choice([lang, lang, "fr", "xx", None])
+        text = rng.choice([sentence(lang, i, rng.randrange(1, 9)), "", "qq zz9 kk", sentence(lang, i, 2) + " " + sentence("en", i, 2)])
+        rows.append((i, host, told, text))
+        pages.append((i, f"https://{host}/p", f"<html{f' lang={told}' if told else ''}><body>{text}</body></html>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: (r.lang, r.confidence) for r in language.identify(df, model, id_col="page_id", text_col="html", markup=True, url_col="url").collect()}
+    want = plain_fusion(model, rows)
+    assert found.keys() == want.keys()
+    for i, (lang, confidence) in want.items():
+        assert found[i][1] == pytest.approx(confidence, abs=1e-4)
+        assert found[i][0] == lang or confidence < 0.51
+
+
 def test_unknown_languages_go(spark, model):
     junk = ["zx9 qqk3 0xff77 @@@ %%% 88a8a8 kkkzz wqwq 77z7z " * 5, "日本語 の 文章 です 東京 大阪 名古屋 " * 4]
     df = spark.createDataFrame([(i, sentence(x, i), x) for i, x in enumerate(list(WORDS) * 5)] + [(100 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
