@@ -305,7 +305,8 @@ def components_minid(d: Data) -> DataFrame:
     return d.ask("d least", "(= x (D d)) (= least (least x))")
 
 
-@query()
+#: Suppliers that share a part, and the closure of that; a part's component is that of its suppliers.
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), b AS (SELECT DISTINCT a.s AS x, c.s AS y FROM e a JOIN e c ON a.p = c.p), r AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y), c AS (SELECT r.x AS s, min(e.p) AS root FROM r JOIN e ON e.s = r.y GROUP BY 1) SELECT 'supplier' AS x_is, s AS x, root FROM c UNION ALL SELECT DISTINCT 'part', e.p, c.root FROM e JOIN c ON c.s = e.s")
 def components_chain(d: Data) -> DataFrame:
     """The component of each part and supplier, over all lines, named by its least part."""
     d.bind("e", "lineitem", "l_partkey l_suppkey", unique=False)
