@@ -121,14 +121,14 @@ def write_records(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = held("records", ("records", tokenizer_path, width), lambda: Segments(hf_resolver(tokenizer_path, width), whole=whole_texts(tokenizer_path)))
+        encoder = held("records", ("records", tokenizer_path, width), lambda: Segments(hf_resolver(tokenizer_path, width), 128 << 20, whole_texts(tokenizer_path)))
         index: list[np.ndarray] = []
         state = [8, 0, 0]  # offset, tokens, records
 
         def parts() -> Iterator[bytes]:
             yield struct.pack("<6sBB", MAGIC, VERSION, width)
             for batch in batches:
-                for first_row, last_row in pieces(batch, "_text", 2_000_000):
+                for first_row, last_row in pieces(batch, "_text", 6_000_000):
                     ids = batch.column(0).slice(first_row, last_row - first_row).to_pylist()
                     texts = texts_of(batch.column(1).slice(first_row, last_row - first_row))
                     framed = [frame(b"".join((struct.pack("<qB", i or 0, i is None), x, end))) for i, x in zip(ids, encoder.encode(texts), strict=True)]
