@@ -112,7 +112,7 @@ def _evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
     token = hash((model.languages, model.table.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held("language", ("language", token), lambda: WordRows(model.rows))
+        words = held(f"language {token}", ("words",), lambda: WordRows(model.rows))
         for batch in batches:
             for start, end in pieces(batch, "text"):
                 part = batch.slice(start, end - start)

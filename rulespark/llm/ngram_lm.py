@@ -353,7 +353,7 @@ def token_ids(hashes: np.ndarray, folder: str, v_shards: int) -> tuple[np.ndarra
 
 
 def _arrays(folder: str, kind: str, shard: int) -> list[np.ndarray] | None:
-    return held("ngrams", (folder, kind, shard), lambda: map_arrays(f"{folder}/{kind}-{shard:06d}"))
+    return held(f"ngrams {folder}", (kind, shard), lambda: map_arrays(f"{folder}/{kind}-{shard:06d}"))
 
 
 # ---- n-grams
@@ -389,7 +389,7 @@ def _deal(level: int, columns: list[np.ndarray], count: np.ndarray, shards: int,
 
 def _count(order: int, shards: int, v_shards: int, folder: str, run: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held("ngrams", ("ids", folder), lambda: WordRows(lambda found: token_ids(hashes_of(found), folder, v_shards)[0], CACHED))
+        words = held(f"ngrams {folder}", ("ids",), lambda: WordRows(lambda found: token_ids(hashes_of(found), folder, v_shards)[0], CACHED))
 
         def rows() -> Iterator[tuple[str, int, bytes]]:
             some: list[list[np.ndarray]] = []
@@ -602,7 +602,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     most = min(16_000_000, max(2_000_000, 10_000 * model.shards))  # more text at a time, where more shards share it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held("ngrams", ("known", model.folder), lambda: WordRows(lambda found: model.known(hashes_of(found)), CACHED))
+        words = held(f"ngrams {model.folder}", ("known",), lambda: WordRows(lambda found: model.known(hashes_of(found)), CACHED))
         for batch in batches:
             for start, end in pieces(batch, "_text", most):
                 flat, sizes = tokens(batch.column(1).slice(start, end - start).to_pylist(), model.order, words)

@@ -404,7 +404,7 @@ def score(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_co
     token = hash((tuple(model.network.w["out"].tolist()), model.embeddings.words.tobytes(), model.slope))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held("toxicity", ("toxicity", token), lambda: WordRows(model.word_rows, 250_000))
+        words = held(f"toxicity {token}", ("words",), lambda: WordRows(model.word_rows, 250_000))
         for batch in batches:
             for start, end in pieces(batch, "_text", 2_000_000):
                 found = [(x or b"").split() for x in batch.column(1).slice(start, end - start).to_pylist()]
