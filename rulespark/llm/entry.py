@@ -40,12 +40,9 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = mixing.plan(table(spark, sf_dir, "documents"))
-    times = F.size("mix_shards")
-    return p.select(
-        F.col("mix_id").alias("doc_id"), F.col("mix_words").alias("size"), F.col("mix_size").alias("source_size"), F.col("mix_target").alias("target"),
-        (F.col("mix_words") * times).alias("taken"), times.cast("long").alias("times"),
-    )
+    found = mixing.digest_mix(table(spark, sf_dir, "documents"))
+    names = {"mix_id": "doc_id", "mix_words": "size", "mix_size": "source_size", "mix_target": "target", "mix_taken": "taken", "mix_times": "times"}
+    return found.select(*[F.col(c).alias(n) for c, n in names.items()])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@
 5. Each shard orders its documents by pseudo-random keys.
 
 Only tables of blocks and of sources are windowed; documents are summed by block, after which each finds its shards by
-a join with the table of blocks. A hot source has more blocks, not larger ones.
+joins with the tables of sources and of blocks, so that texts are shuffled once, into their shards. A hot source has more blocks, not larger ones.
 
 Defined results: a null or empty text has size 0; null sources form one source, last in order; a source of size 0 has
 target 0. Equal rows (same id and text) share a position and are taken alike. An empty table gives an empty result.
@@ -67,22 +67,23 @@ def _block(pos: Column, n: Column) -> Column:
     return F.least(F.floor(pos / F.lit(float(POSITIONS)) * n), n - 1).cast("long")
 
 
-def plan(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, blocks: int = 4096, levels: int = 4, seed: int = 0
-) -> DataFrame:
-    """A row for each row of docs: id, mix_source, mix_words, mix_position, the source's size and target, and mix_shards.
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """docs with each row's source and position as mix_source and mix_position; other columns that start with mix_ go."""
+    own = [docs[c] for c in docs.columns if not c.startswith("mix_")]
+    return docs.select(*own, docs[source_col].alias("mix_source"), position(docs[id_col], docs[text_col], seed).alias("mix_position"))
 
-    mix_shards lists the output shards (of 2^levels) that hold the document, one entry for each time it is taken.
-    """
+
+def draw(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, blocks: int = 4096, levels: int = 4, seed: int = 0
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three written tables: a row for each row of docs (id, source, words, position), sources, and blocks with their shards."""
     lean = cut(
         docs.select(docs[id_col].alias("mix_id"), docs[source_col].alias("mix_source"), n_words(docs[text_col]).alias("mix_words"), position(docs[id_col], docs[text_col], seed).alias("mix_position")),
         "mix-sizes",
     )
     sources = cut(_targets(lean.groupBy("mix_source").agg(F.sum("mix_words").alias("mix_size")), weights, share, max_repeat, blocks), "mix-targets")
 
-    rows = lean.alias("d").join(sources.alias("s"), F.col("d.mix_source").eqNullSafe(F.col("s.mix_source")))
-    rows = rows.select("d.*", "s.mix_size", "s.mix_target", _block(F.col("mix_position"), F.col("s.mix_blocks")).alias("mix_block"))
-
+    rows = _in_blocks(lean, sources)
     sums = rows.groupBy("mix_source", "mix_block", "mix_size", "mix_target").agg(F.sum("mix_words").alias("mix_in_block"))
     along = Window.partitionBy("mix_source").orderBy("mix_block").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.least(F.floor(F.col("mix_target") / F.greatest(F.col("mix_size"), F.lit(1))), F.lit(max_repeat)).cast("long")
@@ -110,25 +111,60 @@ def plan(
     by_time = F.sort_array(F.collect_list(F.struct(F.col("mix_time").alias("t"), F.col("mix_node").alias("n"))))  # max_repeat + 1 at most
     shards = tokens.groupBy("mix_source", "mix_block", "mix_whole", "mix_drawn").agg(by_time.alias("mix_nodes"))
     shards = shards.alias("b").join(last.alias("s"), F.col("b.mix_source").eqNullSafe(F.col("s.mix_source")), "left").select("b.*", "s.mix_last")
-    shards = cut(shards, "mix-shards")
+    return lean, sources, cut(shards, "mix-shards")
+
+
+def _in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with their source's size and target, and the block that holds their position."""
+    rows = rows.alias("d").join(sources.alias("s"), F.col("d.mix_source").eqNullSafe(F.col("s.mix_source")))
+    return rows.select("d.*", "s.mix_size", "s.mix_target", _block(F.col("mix_position"), F.col("s.mix_blocks")).alias("mix_block"))
+
 
-    out = rows.alias("d").join(shards.alias("s"), F.col("d.mix_source").eqNullSafe(F.col("s.mix_source")) & (F.col("d.mix_block") == F.col("s.mix_block")), "left")
+def _in_shards(rows: DataFrame, sources: DataFrame, shards: DataFrame) -> DataFrame:
+    """Rows with mix_shards, by joins with the tables of sources and of blocks: rows themselves need no shuffle."""
+    out = _in_blocks(rows, sources).alias("d").join(shards.alias("s"), F.col("d.mix_source").eqNullSafe(F.col("s.mix_source")) & (F.col("d.mix_block") == F.col("s.mix_block")), "left")
     more = (F.col("s.mix_drawn") == 2) | ((F.col("s.mix_drawn") == 1) & F.coalesce(F.col("d.mix_position") <= F.col("s.mix_last"), F.lit(False)))
     taken = F.filter(F.col("s.mix_nodes"), lambda x: (x["t"] < F.col("s.mix_whole")) | more)
     return out.select("d.*", F.coalesce(F.transform(taken, lambda x: x["n"]), F.array().cast("array<int>")).alias("mix_shards"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
+def plan(docs: DataFrame, **options) -> DataFrame:
+    """A row for each row of docs: id, mix_source, mix_words, mix_position, the source's size and target, and mix_shards.
+
+    mix_shards lists the output shards (of 2^levels) that hold the document, one entry for each time it is taken.
+    """
+    return _in_shards(*draw(docs, **options))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, drawn: tuple[DataFrame, DataFrame, DataFrame] | None = None, **options) -> DataFrame:
     """The mix: rows of docs, as often as they are taken, in shards and shuffled in each shard.
 
-    mix_shard and mix_order are added; a shard is sorted by mix_order, a pseudo-random key.
+    mix_shard and mix_order are added; a shard is sorted by mix_order, a pseudo-random key. drawn: what draw() gave, if it
+    is known.
     """
-    chosen = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    chosen = chosen.where(F.size("mix_shards") > 0).groupBy("mix_id", "mix_position", "mix_source").agg(F.first("mix_shards").alias("mix_shards"))
-    own = docs.select([docs[c] for c in docs.columns if not c.startswith("mix_")]).withColumn("mix_position", position(F.col(id_col), F.col(text_col), seed))
-    same = (F.col("d.mix_position") == F.col("c.mix_position")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("c.mix_id")) & F.col(f"d.`{source_col}`").eqNullSafe(F.col("c.mix_source"))
-    taken = own.alias("d").join(chosen.alias("c"), same).select("d.*", F.posexplode("c.mix_shards").alias("mix_time", "mix_shard"))
+    _, sources, shards = drawn or draw(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
+    own = [c for c in docs.columns if not c.startswith("mix_")]
+    placed = _in_shards(_keyed(docs, id_col, text_col, source_col, seed), sources, shards)
+    taken = placed.select(*[placed[f"`{c}`"] for c in own], "mix_position", F.posexplode("mix_shards").alias("mix_time", "mix_shard"))
     order = F.xxhash64(F.lit(seed), F.col("mix_shard"), F.col("mix_position"), F.col("mix_time"))
     taken = taken.withColumn("mix_order", order).drop("mix_position", "mix_time")
     # Ranges of (shard, order) keep shards apart and in order, and split a shard over as many tasks as it needs.
     return taken.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+
+
+def digest_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
+    """Write the mix, read it back, and count what it holds of each row of docs.
+
+    The columns of draw()'s rows, mix_size and mix_target of the source, mix_taken (words) and mix_times. Equal rows share
+    their order in a shard, so copies are counted once.
+    """
+    names = dict(id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
+    tables = draw(docs, **names, **options)
+    written = cut(mix(docs, **names, drawn=tables), "mix-drawn")
+    key = [written[id_col].alias("mix_id"), written[source_col].alias("mix_source"), position(written[id_col], written[text_col], seed).alias("mix_position")]
+    held = written.select(*key, n_words(written[text_col]).alias("mix_words"), F.struct("mix_shard", "mix_order").alias("mix_place"))
+    held = held.groupBy("mix_id", "mix_source", "mix_position", "mix_words").agg(F.size(F.collect_set("mix_place")).cast("long").alias("mix_times"))
+    rows = _in_blocks(tables[0], tables[1]).drop("mix_block").alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("mix_id", "mix_source", "mix_position")]
+    rows = rows.join(held.alias("h"), same, "left").select("d.*", F.col("h.mix_words").alias("mix_each"), F.coalesce("mix_times", F.lit(0)).alias("mix_times"))
+    return rows.withColumn("mix_taken", F.coalesce(F.col("mix_each") * F.col("mix_times"), F.lit(0))).drop("mix_each")

@@ -151,6 +151,19 @@ def test_mixing_meets_targets(spark, base_text):
     assert Counter(r.doc_id for r in mixed) == Counter({r.mix_id: len(r.mix_shards) for r in plan if r.mix_shards})
 
 
+def test_written_mix_holds_what_is_planned(spark, base_text, messy, nothing):
+    rows = [(i, base_text(i, 5 + i % 30), "hot" if i % 2 else f"s{i % 3}") for i in range(300)]
+    rows += [rows[4], rows[4], (4, "another text of id four", "hot"), (None, "no id", None), (301, None, None), (302, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for docs in (df, messy, nothing):
+        plan = Counter((r.mix_id, r.mix_words, r.mix_position, len(r.mix_shards)) for r in mixing.plan(docs).collect())
+        found = mixing.digest_mix(docs).collect()
+        assert Counter((r.mix_id, r.mix_words, r.mix_position, r.mix_times) for r in found) == plan
+        assert all(r.mix_taken == r.mix_words * r.mix_times for r in found)
+    plan = mixing.mix(df).drop("text")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange rangepartitioning") == 1
+
+
 def test_mixing_messy_rows(messy, nothing):
     plan = mixing.plan(messy).collect()
     assert len(plan) == messy.count() and all(len(r.mix_shards) <= 2 for r in plan)
