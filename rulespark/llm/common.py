@@ -59,10 +59,10 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return uri
 
 
-def cut(df: DataFrame, kind: str) -> DataFrame:
+def cut(df: DataFrame, kind: str, codec: str = "snappy") -> DataFrame:
     """The rows of df from a table written to the shared folder: lineage ends there, and nothing is computed twice."""
     uri = f"{shared_base(df.sparkSession)}/{kind}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(uri)
+    df.write.option("compression", codec).parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 

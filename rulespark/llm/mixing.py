@@ -160,7 +160,7 @@ def digest_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     names = dict(id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
     tables = draw(docs, **names, **options)
-    written = cut(mix(docs, **names, drawn=tables), "mix-drawn")
+    written = cut(mix(docs, **names, drawn=tables), "mix-drawn", codec="zstd")  # whole texts
     key = [written[id_col].alias("mix_id"), written[source_col].alias("mix_source"), position(written[id_col], written[text_col], seed).alias("mix_position")]
     held = written.select(*key, n_words(written[text_col]).alias("mix_words"), F.struct("mix_shard", "mix_order").alias("mix_place"))
     held = held.groupBy("mix_id", "mix_source", "mix_position", "mix_words").agg(F.size(F.collect_set("mix_place")).cast("long").alias("mix_times"))
