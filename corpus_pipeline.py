@@ -54,7 +54,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: Banding, the language model and BPE have no SQL; tests hold the rows against a plain version.
+#: Banding, the language model and BPE have no SQL; tests hold the stages after the first against plain versions.
 ORACLE_SQL = None
 
 
