@@ -33,6 +33,11 @@ class Backoff:
             return False
         return None
 
+    def tick(self, fired: bool) -> None:
+        """The next iteration; if none of the rules fired, the one in which the next ban ends, as those between do nothing."""
+        ends = [t for t in self.until.values() if t > self.now]
+        self.now = self.now + 1 if fired or not ends else max(self.now + 1, min(ends))
+
 
 def first(n: int) -> Choice:
     """Fire n matches of a rule in an iteration, by the order of their hashes."""
@@ -44,16 +49,18 @@ def first(n: int) -> Choice:
 
 
 def run_with(engine: Engine, choose: Choice, iterations: int, ruleset: str = "") -> bool:
-    """Run a ruleset with a scheduler; whether the last iteration changed anything or left matches waiting."""
+    """Run a ruleset with a scheduler; whether the last iteration changed anything or left matches waiting.
+
+    Matches that wait stay with their rule: further calls, or plain runs of the ruleset, go on with them.
+    """
     engine.flush()
-    waiting: dict[int, DataFrame] = {}
     active = False
     for _ in range(iterations):
-        stage, now, active = Stage(), engine.ts, False
+        stage, now, active, fired = Stage(), engine.ts, False, False
         for rule in engine.rules_of(ruleset):
             new = engine.matches(rule)
             rule.last_run = now
-            held = waiting.pop(id(rule), None)
+            held, rule.waiting = rule.waiting, None
             some = [*new, *([held] if held is not None else [])]
             if not some:
                 continue
@@ -62,19 +69,20 @@ def run_with(engine: Engine, choose: Choice, iterations: int, ruleset: str = "")
                 continue
             chosen = choose(rule, every, n)
             if chosen is False:
-                waiting[id(rule)] = every
+                rule.waiting = every
                 active = True
                 continue
+            fired = True
             if isinstance(chosen, DataFrame):
                 chosen, m = settle(chosen)
                 if m < n:
-                    waiting[id(rule)] = settle(every.exceptAll(chosen))[0]
+                    rule.waiting = settle(every.exceptAll(chosen))[0]
                     active = True
                 every = chosen
             engine.act(rule, every, stage)
         active |= engine.apply(stage)
-        if hasattr(choose, "now"):
-            choose.now += 1
+        if hasattr(choose, "tick"):
+            choose.tick(fired)
         if not active:
             break
     return active
