@@ -596,7 +596,9 @@ def backoff_schedule(d: Data) -> DataFrame:
 
     d.bind("orders", "orders", "o_orderkey o_custkey o_totalprice")
     d.run("(relation good (i64)) (rule ((orders o c p) (> p 200000.0)) ((good c)))")
-    run_with(d.engine, Backoff(limit=100, ban=1), 30)
+    backoff = Backoff(limit=100, ban=1)
+    while run_with(d.engine, backoff, 30):  # true while matches wait
+        pass
     return d.rows("good", "c")
 
 

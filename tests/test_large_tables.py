@@ -44,3 +44,10 @@ def test_plain_runs_go_on_with_what_a_scheduler_held(spark):
 def test_bans_of_all_rules_cost_no_iterations(spark):
     e = held(spark, 2000)
     assert not run_with(e, Backoff(limit=10, ban=5), 12) and e.size("seen") == 2000
+
+
+def test_backoff_schedule_over_many_matches(spark, tables):
+    rows = [(k, k, 250000.0 if k % 3 else 1.0) for k in range(15000)]
+    folder = tables(orders=("o_orderkey long, o_custkey long, o_totalprice double", rows))
+    got = [r.c for r in queries.QUERIES["backoff_schedule"](spark, folder).collect()]
+    assert sorted(got) == [k for k, _, p in rows if p > 200000]
