@@ -30,7 +30,7 @@ from rulespark.functions.sorts import BASE_SORTS, BOOL, F64, I64, KINDS, STRING,
 from rulespark.operators.components import components
 from rulespark.operators.storage import LOCAL_ROWS, cut, settle
 from rulespark.operators.tables import BROADCAST_ROWS, Part, Table
-from rulespark.plans.rules import Rule, flatten, literal, plan
+from rulespark.plans.rules import Rule, columns, flatten, literal, plan
 from rulespark.plans.syntax import Call, Command, Lit, Parser, ProgramError, Var
 from rulespark.plans.typing import FUNCTIONALS, Typed, Typer
 
@@ -332,13 +332,26 @@ class Engine:
             if any(size == 0 for _, size in versions):
                 continue
             self.largest = max(self.largest, *(size for _, size in versions))
-            out.append(plan(rule, versions, self.evaluate, self.one_row, distinct))
+            out.append(plan(rule, versions, self.evaluate, self.one_row, distinct, self.values(rule, [size for _, size in versions]), BROADCAST_ROWS))
         if last == 0 and any(t.n == 0 for t in tables):
             return []
         if distinct and len(out) > 1:  # a match may have new rows for several atoms, but never in two variants
             out = [reduce(DataFrame.unionByName, out).distinct()]
         return out
 
+    def values(self, rule: Rule, sizes: list[int]) -> list[dict[str, int]] | None:
+        """About how many values the columns have that join atoms, or are compared with literals, if that can matter: of
+        more than LOCAL_ROWS rows, unless there are two atoms and one's keys are all joined."""
+        if len(sizes) < 2 or max(sizes) <= LOCAL_ROWS:
+            return None
+        of = [[(c, t.name) for c, t in columns(a)] for a in rule.atoms]
+        in_atoms = [{v for _, v in own if v} for own in of]
+        shared = [[(c, v) for c, v in own if not v or any(v in o for j, o in enumerate(in_atoms) if j != i)] for i, own in enumerate(of)]
+        keyed = lambda i: {c for c, _ in of[i]} - {"out"} <= {c for c, _ in shared[i]}
+        if len(sizes) == 2 and any(keyed(i) for i in range(2)):
+            return None
+        return [{c: min(n, k) for c, k in self.tables[a.table].values_of(self.spark, [c for c, _ in own]).items()} if own else {} for a, own, n in zip(rule.atoms, shared, sizes, strict=True)]
+
     def act(self, rule: Rule, df: DataFrame, stage: Stage) -> None:
         env = {v: F.col(t.name) if t.name else literal(t) for v, t in rule.names.items()}
         b = Builder(self, df, env)

@@ -56,6 +56,7 @@ class Table:
     hidden: bool = False
     moved: bool = False  # whether some id of it isn't the hash of its row any more
     lost: int = 0  # rows of its parts that are gone
+    counted: tuple[int, dict[str, int]] | None = None  # rows when values were counted, and about how many a column had
 
     def copy(self) -> Table:
         return Table(self.name, self.takes, self.out, self.kind, self.merge, self.cost, self.extractable, list(self.parts), self.hidden, self.moved, self.lost)
@@ -100,6 +101,16 @@ class Table:
             return self.empty(spark), 0
         return reduce(DataFrame.unionByName, [p.view(self.keys) if p.last < ts else p.view(self.keys).where(F.col("ts") < ts) for p in some]), min(self.n, sum(p.n for p in some))
 
+    def values_of(self, spark: SparkSession, columns: list[str]) -> dict[str, int]:
+        """About how many values columns have; counted again once the table is twice or half as large."""
+        n, known = self.counted or (0, {})
+        if not n <= 2 * self.n <= 4 * n:
+            n, known = self.n, {}
+        if left := [c for c in columns if c not in known]:
+            known = known | self.df(spark).agg(*[F.approx_count_distinct(c).alias(c) for c in left]).head().asDict()
+        self.counted = n, known
+        return known
+
     def add(self, df: DataFrame, n: int, ts: int) -> None:
         if n:
             self.parts.append(Part(df, n, ts, ts))

@@ -58,6 +58,7 @@ class Rule:
     matches: int = 0
     source: str = ""
     waiting: DataFrame | None = None  # matches that a scheduler holds
+    about: float | None = None  # about how many matches the last plan has, if values were counted
 
     @property
     def needed(self) -> set[str]:
@@ -184,9 +185,13 @@ def column(t: Term) -> Column:
     return F.col(t.name) if t.name else literal(t)
 
 
+def columns(atom: Atom) -> list[tuple[str, Term]]:
+    return [(f"c{i}", t) for i, t in enumerate(atom.keys)] + ([("out", atom.out)] if atom.out is not None else [])
+
+
 def scan(table: DataFrame, atom: Atom, keep: set[str]) -> DataFrame:
     """An atom's rows, as columns named by its variables: constants and repeated variables become filters."""
-    terms = [(f"c{i}", t) for i, t in enumerate(atom.keys)] + ([("out", atom.out)] if atom.out is not None else [])
+    terms = columns(atom)
     first: dict[str, str] = {}
     for c, t in terms:
         if not t.name:
@@ -198,14 +203,49 @@ def scan(table: DataFrame, atom: Atom, keep: set[str]) -> DataFrame:
     return table.select(*[F.col(c).alias(v) for v, c in first.items() if v in keep] or [F.lit(1).alias("any")])
 
 
-def plan(rule: Rule, versions: list[tuple[DataFrame, int | None]], evaluate, one_row: DataFrame, distinct: bool = False) -> DataFrame:
+def join_size(rows: float, seen: dict[str, int], atom: Atom, n: float, values: dict[str, int]) -> float:
+    """About how many rows a join has: of rows with so many seen values of variables, and an atom of n with values by column."""
+    size, own = rows * n, {}
+    for c, t in columns(atom):
+        if not t.name:
+            size /= max(1, values.get(c, 1))
+        elif t.name in seen:
+            own[t.name] = max(own.get(t.name, 1), seen[t.name], values.get(c, 1))
+    for v in own.values():
+        size /= v
+    return min(size, rows) if atom.out is not None and all(not t.name or t.name in seen for t in atom.keys) else size
+
+
+def spread(out: DataFrame, rows: DataFrame, on: list[str], about: float, n_out: float, n_rows: float, few: int) -> DataFrame:
+    """A join with far more rows than its sides, in tasks that don't depend on how many keys there are: one side is broadcast
+    if it has few rows, else repeated for each of several shares of the other."""
+    tasks = int(min(4000, max(4 * out.sparkSession.sparkContext.defaultParallelism, about // (1 << 24))))
+    if n_rows <= few:
+        return out.repartition(tasks, *out.columns).join(F.broadcast(rows), on)
+    if n_out <= few:
+        return F.broadcast(out).join(rows.repartition(tasks, *rows.columns), on)
+    shares = int(min(64, max(2, about // 10_000_000)))
+    a = out.withColumn("share", F.pmod(F.xxhash64(*out.columns), F.lit(shares)).cast("int")).repartition(tasks, *on, "share")
+    b = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartition(tasks, *on, "share")
+    return a.join(b, [*on, "share"]).drop("share")
+
+
+#: A join is spread if it has more rows than this, and four times those of its sides.
+SPREAD_ROWS = 2_000_000
+
+
+def plan(rule: Rule, versions: list[tuple[DataFrame, int | None]], evaluate, one_row: DataFrame, distinct: bool = False, values: list[dict[str, int]] | None = None, few: int = 0) -> DataFrame:
     """The matches of a rule: columns named by the flat variables that its head needs.
 
     versions: rows and (known) size of each atom's table; evaluate(call, columns): a primitive's column; distinct:
-    whether each match counts once.
+    whether each match counts once; values: about how many values the columns of each atom have. With them the next atom
+    is the one that leaves the fewest rows, else the smallest; few: rows that can be broadcast.
     """
     needed = rule.needed
-    atoms = list(zip(rule.atoms, versions, strict=True))
+    atoms = list(zip(rule.atoms, versions, values or [{}] * len(versions), strict=True))
+    atoms = [(a, (df, n, v)) for a, (df, n), v in atoms]
+    seen: dict[str, int] = {}
+    size = 1.0
     steps, bound = list(rule.steps), set()
     out: DataFrame | None = None
 
@@ -242,8 +282,12 @@ def plan(rule: Rule, versions: list[tuple[DataFrame, int | None]], evaluate, one
         out = one_row.select(F.lit(1).alias("one"))
     while atoms:
         # The smallest atom first; then those that share variables, smallest first; unconnected ones come last.
-        i = min(range(len(atoms)), key=lambda k: (bool(bound) and not own(atoms[k][0]) & bound, atoms[k][1][1] if atoms[k][1][1] is not None else big))
-        atom, (df, _) = atoms.pop(i)
+        sizes = [big if n is None else n for _, (_, n, _) in atoms]
+        results = [join_size(size, seen, a, sizes[k], v) if values and seen else 0 for k, (a, (_, _, v)) in enumerate(atoms)]
+        i = min(range(len(atoms)), key=lambda k: (bool(bound) and not own(atoms[k][0]) & bound, results[k], sizes[k]))
+        atom, (df, _, counted) = atoms.pop(i)
+        before, size = size, join_size(size, seen, atom, sizes[i], counted) if values else size
+        seen |= {t.name: min(seen.get(t.name, big), counted.get(c, sizes[i]), sizes[i]) for c, t in columns(atom) if t.name}
         keep = later(atom) | bound
         rows = scan(df, atom, keep & own(atom))
         if out is None:
@@ -252,9 +296,10 @@ def plan(rule: Rule, versions: list[tuple[DataFrame, int | None]], evaluate, one
             on = sorted(own(atom) & bound)
             new = (own(atom) & later(atom)) - bound
             if on and not new:
-                out = out.join(rows.select(*on), on, "left_semi")
+                out, size = out.join(rows.select(*on), on, "left_semi"), min(size, before)
             elif on:
-                out = out.join(rows, on)
+                grows = values and size > max(SPREAD_ROWS, 4 * (before + sizes[i]))
+                out = spread(out, rows, on, size, before, sizes[i], few) if grows else out.join(rows, on)
             elif new:
                 out = out.crossJoin(rows)  # atoms without shared variables, as the program says
             else:
@@ -266,6 +311,7 @@ def plan(rule: Rule, versions: list[tuple[DataFrame, int | None]], evaluate, one
     out = run_steps(out)
     for a, b in rule.equal:
         out = out.where(literal(a).eqNullSafe(literal(b)))
+    rule.about = size if values else None
     use = sorted(needed & set(out.columns))
     out = out.select(*use) if use else out.limit(1).select(F.lit(1).alias("one")) if rule.head else out.select(F.lit(1).alias("one"))
     return out.distinct() if distinct and use else out

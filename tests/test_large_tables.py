@@ -51,3 +51,19 @@ def test_backoff_schedule_over_many_matches(spark, tables):
     folder = tables(orders=("o_orderkey long, o_custkey long, o_totalprice double", rows))
     got = [r.c for r in queries.QUERIES["backoff_schedule"](spark, folder).collect()]
     assert sorted(got) == [k for k, _, p in rows if p > 200000]
+
+
+def test_a_cyclic_join_starts_by_the_key_with_many_values(spark, tables, monkeypatch):
+    """Through the one nation, suppliers and customers would meet in 9 million pairs."""
+    from rulespark.plans import rules
+
+    order, scan = [], rules.scan
+    monkeypatch.setattr(rules, "scan", lambda df, atom, keep: order.append(atom.table) or scan(df, atom, keep))
+    n = 3000
+    folder = tables(
+        customer=("c_custkey long, c_nationkey long", [(k, 0) for k in range(n)]), orders=("o_orderkey long, o_custkey long", [(k, k % n) for k in range(25_000)]),
+        lineitem=("l_orderkey long, l_suppkey long", [(k, k * 7 % n) for k in range(25_000)]), supplier=("s_suppkey long, s_nationkey long", [(k, 0) for k in range(n)]),
+    )
+    found = queries.QUERIES["join_triangle_cyclic"](spark, folder)
+    assert set(order[:2]) != {"customer", "supplier"} and len(order) == 4
+    assert sorted(map(tuple, found.select("c", "s").collect())) == sorted({(k % n, k * 7 % n) for k in range(25_000)})
