@@ -30,7 +30,7 @@ from rulespark.functions.sorts import BASE_SORTS, BOOL, F64, I64, KINDS, STRING,
 from rulespark.operators.components import components
 from rulespark.operators.storage import LOCAL_ROWS, cut, settle
 from rulespark.operators.tables import BROADCAST_ROWS, Part, Table
-from rulespark.plans.rules import Rule, columns, flatten, literal, plan
+from rulespark.plans.rules import SPREAD_ROWS, Rule, columns, flatten, literal, plan, scan
 from rulespark.plans.syntax import Call, Command, Lit, Parser, ProgramError, Var
 from rulespark.plans.typing import FUNCTIONALS, Typed, Typer
 
@@ -63,6 +63,8 @@ class Stage:
         self.subsumes: dict[str, list[DataFrame]] = {}
         self.unions: list[DataFrame] = []
         self.panics: list[tuple[DataFrame, str]] = []
+        # by relation, for each frame of rows: its literals by position, and whether its rows are many and never repeat
+        self.known: dict[str, list[tuple[dict[int, Any], bool]]] = {}
 
 
 class Builder:
@@ -352,11 +354,45 @@ class Engine:
             return None
         return [{c: min(n, k) for c, k in self.tables[a.table].values_of(self.spark, [c for c, _ in own]).items()} if own else {} for a, own, n in zip(rule.atoms, shared, sizes, strict=True)]
 
-    def act(self, rule: Rule, df: DataFrame, stage: Stage) -> None:
+    def one_each(self, rule: Rule, names: set[str]) -> bool:
+        """Whether these variables' values tell matches apart, by the rows there are: each atom has at most one row for what
+        is known by then. Asked only of joins that have many more rows than their tables."""
+        sizes = [self.tables[a.table].n for a in rule.atoms]
+        if rule.about is None or rule.about <= max(SPREAD_ROWS, 4 * sum(sizes)):
+            return False
+        known, left, steps, tried = set(names), list(rule.atoms), list(rule.steps), set()
+        while left:
+            for x in steps:
+                if x.out is not None and all(not t.name or t.name in known for t in x.args):
+                    known.add(x.out.name)
+            for a in left:
+                own = {t.name for _, t in columns(a) if t.name}
+                some = tuple(sorted(own & known))
+                if not some or (id(a), some) in tried:
+                    continue
+                tried.add((id(a), some))
+                rows = scan(self.visible(t := self.tables[a.table], t.df(self.spark), rule.subsumed), a, set(some))
+                if rows.groupBy(*some).count().where("count > 1").isEmpty():
+                    known |= own
+                    left.remove(a)
+                    break
+            else:
+                return False
+        return True
+
+    def act(self, rule: Rule, df: DataFrame, stage: Stage, only: bool = False) -> None:
+        """only: df holds all matches there are."""
         env = {v: F.col(t.name) if t.name else literal(t) for v, t in rule.names.items()}
         b = Builder(self, df, env)
         b.run(rule.head)
         b.stage(stage)
+        match rule.head:
+            case [("do", Typed(what="table") as e)] if self.tables[e.name].kind == "relation" and all(a.what in ("lit", "var") for a in e.args):
+                sure = only and not self.tables[e.name].n and not self.is_read(e.name) and self.one_each(rule, rule.needed)
+                stage.known.setdefault(e.name, []).append(({i: a.value for i, a in enumerate(e.args) if a.what == "lit"}, sure))
+
+    def is_read(self, name: str) -> bool:
+        return any(a.table == name for r in self.rules for a in r.atoms)
 
     def rules_of(self, ruleset: str) -> list[Rule]:
         if ruleset not in self.rulesets:
@@ -377,7 +413,7 @@ class Engine:
                 found, rule.waiting = [reduce(DataFrame.unionByName, [*found, rule.waiting]).distinct()], None
             for df in found:
                 rule.matches += 1
-                self.act(rule, df, stage)
+                self.act(rule, df, stage, only=len(found) == 1)
             rule.last_run = now
         changed = self.apply(stage)
         r = self.report.setdefault(ruleset, {"iterations": 0, "seconds": 0.0, "changed": 0})
@@ -403,9 +439,17 @@ class Engine:
                 t.remove(*settle(t.df(self.spark).select(*t.keys).join(reduce(DataFrame.unionByName, dfs).distinct(), t.keys, "left_semi")))
         changed, edges = False, list(stage.unions)
         for f, dfs in stage.rows.items():
-            own, more = self.insert(self.tables[f], reduce(DataFrame.unionByName, dfs), now)
-            changed |= own
-            edges += more
+            views, dfs = self.views(dfs, stage.known.get(f, []))
+            if dfs:
+                own, more = self.insert(self.tables[f], reduce(DataFrame.unionByName, dfs), now)
+                changed |= own
+                edges += more
+            for df in views:
+                t = self.tables[f]
+                df = df.withColumn("ts", F.lit(now).cast("long")).withColumn("sub", F.lit(False))
+                n = df.count()
+                t.add(df, n, now)
+                changed |= n > 0
         for f, dfs in stage.subsumes.items():
             changed |= self.subsume(self.tables[f], reduce(DataFrame.unionByName, dfs), now)
         if edges:
@@ -414,6 +458,16 @@ class Engine:
         self.largest = 0
         return changed
 
+    @staticmethod
+    def views(dfs: list[DataFrame], known: list[tuple[dict[int, Any], bool]]) -> tuple[list[DataFrame], list[DataFrame]]:
+        """Frames of rows that never repeat and that other frames can't have, as some literal differs, and the others. Such
+        a frame, of a relation that no rule reads, stays a join of the tables it was made of, and isn't written."""
+        if len(known) != len(dfs):
+            return [], dfs
+        apart = lambda a, b: any(a[i] != b[i] for i in a.keys() & b.keys())
+        view = [sure and all(apart(own, other) for j, (other, _) in enumerate(known) if j != i) for i, (own, sure) in enumerate(known)]
+        return [d for d, v in zip(dfs, view, strict=True) if v], [d for d, v in zip(dfs, view, strict=True) if not v]
+
     def insert(self, t: Table, rows: DataFrame, now: int) -> tuple[bool, list[DataFrame]]:
         """Insert or merge rows (keys, result, and maybe the flag sub); whether that changed the table, and edges of unions."""
         flag = "sub" in rows.columns
@@ -773,7 +827,7 @@ class Engine:
 
     # ---- queries
 
-    def matching(self, facts: list[tuple], names: list[str] | None = None) -> DataFrame:
+    def matching(self, facts: list[tuple], names: list[str] | None = None, distinct: bool = False) -> DataFrame:
         typed, _ = Typer(self).check(facts, [])
         rule = flatten(typed, [], self.tables, name="", ruleset="", subsumed=True)
         rule.head = [("do", Typed("var", rule.names[v].sort, v)) for v in names or []]
@@ -781,7 +835,8 @@ class Engine:
         if not found:
             return self.spark.createDataFrame([], ", ".join(f"`{v}` {rule.names[v].sort.ddl}" for v in names or []) or "one int")
         env = {v: F.col(t.name) if t.name else literal(t) for v, t in rule.names.items()}
-        return found[0].select(*[env[v].alias(v) for v in names]) if names else found[0]
+        out = found[0].select(*[env[v].alias(v) for v in names]) if names else found[0]
+        return out.distinct() if distinct and not self.one_each(rule, {rule.names[v].name for v in names or []} - {""}) else out
 
     def query(self, names: list[str] | str, facts: str) -> DataFrame:
         """The distinct values of variables for which facts hold, as a DataFrame."""
@@ -789,7 +844,7 @@ class Engine:
 
         self.flush()
         names = names.split() if isinstance(names, str) else names
-        return self.matching(self.parser.facts(read(facts)), names).distinct()
+        return self.matching(self.parser.facts(read(facts)), names, distinct=True)
 
     def check(self, facts: list[tuple]) -> bool:
         self.flush()

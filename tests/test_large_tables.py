@@ -67,3 +67,37 @@ def test_a_cyclic_join_starts_by_the_key_with_many_values(spark, tables, monkeyp
     found = queries.QUERIES["join_triangle_cyclic"](spark, folder)
     assert set(order[:2]) != {"customer", "supplier"} and len(order) == 4
     assert sorted(map(tuple, found.select("c", "s").collect())) == sorted({(k % n, k * 7 % n) for k in range(25_000)})
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_many_pairs_are_joined_without_a_list_of_them(spark, tables, monkeypatch, again):
+    """A join of many pairs is spread, and its rows aren't gathered again if each pair is one match; else they are."""
+    from rulespark import engine
+    from rulespark.plans import rules
+
+    for m in (engine, rules):
+        monkeypatch.setattr(m, "SPREAD_ROWS", 100_000)
+    monkeypatch.setattr(engine, "LOCAL_ROWS", 500)
+    rows = [(k, k % 2, float(k)) for k in range(1500)] + [(7, 0, 3.0)] * again
+    folder = tables(supplier=("s_suppkey long, s_nationkey long, s_acctbal double", rows))
+    found = queries.QUERIES["join_theta"](spark, folder)
+    assert ("Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()) == again
+    got = [tuple(r) for r in found.select("a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, n, x in rows for b, m, y in rows if n == m and x < y}
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_pairs_of_a_relation_that_no_rule_reads_stay_a_join(spark, tables, monkeypatch, again):
+    from rulespark import engine
+    from rulespark.plans import rules
+
+    for m in (engine, rules):
+        monkeypatch.setattr(m, "SPREAD_ROWS", 20_000)
+    monkeypatch.setattr(engine, "LOCAL_ROWS", 500)
+    customers, suppliers = [(k, k % 2) for k in range(1000)] + [(5, 0)] * again, [(k, k % 2) for k in range(100)] + [(7, 0)] * again
+    folder = tables(nation=("n_nationkey long, n_regionkey long", [(0, 0), (1, 0)]), customer=("c_custkey long, c_nationkey long", customers), supplier=("s_suppkey long, s_nationkey long", suppliers))
+    found = queries.QUERIES["same_generation"](spark, folder)
+    assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) != again
+    got = [tuple(r) for r in found.collect()]
+    want = {("nation", 0, "nation", 1), ("nation", 1, "nation", 0)} | {("customer", c, "supplier", s) for c, n in customers for s, m in suppliers if n == m}
+    assert len(got) == len(set(got)) and set(got) == want
