@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulespark.functions.sorts import UNIT, Sort
+from rulespark.functions.sorts import BIGINT, BIGRAT, UNIT, Sort
 from rulespark.plans.syntax import ProgramError
 from rulespark.plans.typing import Typed
 
@@ -272,8 +272,9 @@ def plan(rule: Rule, versions: list[tuple[DataFrame, int | None]], evaluate, one
                 df = df.where(value == column(ready.out))
             else:
                 bound.add(ready.out.name)
-                # What is made of or from containers is computed once: Spark would copy it into each later filter and use.
-                held = any(t.sort.kind in ("MultiSet", "Set", "Map", "Vec") for t in (*ready.args, ready.out))
+                # What is made of or from containers, or by Python, is computed once: Spark would copy it into each later
+                # filter and use.
+                held = any(t.sort.kind in ("MultiSet", "Set", "Map", "Vec") or t.sort in (BIGINT, BIGRAT) for t in (*ready.args, ready.out))
                 df = df.select("*", F.explode(F.array(value)).alias(ready.out.name)) if held else df.withColumn(ready.out.name, value)
                 if ready.call.prim is None or ready.call.prim.partial:
                     df = df.where(F.col(ready.out.name).isNotNull())
