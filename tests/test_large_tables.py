@@ -117,3 +117,24 @@ def test_values_are_computed_once(spark):
     found = e.query("x n", "(number x) (= a (multiset-of x x 3)) (= n (multiset-count a 3)) (multiset-contains a x) (= k (multiset-length a)) (> k 2)")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
     assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 3), (4, 1)]
+
+
+@pytest.mark.parametrize("block, task", [(50, 40), (10_000, 40), (50, 10_000)])
+def test_components_by_blocks_and_rounds(spark, monkeypatch, block, task):
+    """Stars, a chain, a dense part, pairs and loops; many edges between few ids leave a forest, and stars take few rounds."""
+    import random
+
+    from rulespark.operators import components as of
+    from rulespark.operators.storage import written
+
+    rng, rounds = random.Random(block + task), []
+    edges = [(k % 3 * 7, 1000 + k) for k in range(300)] + [(k + 1, k) for k in range(5000, 5080)] + [(rng.randrange(9000, 9030), rng.randrange(9000, 9030)) for _ in range(2000)]
+    edges += [(-k, 2 * k) for k in range(20_000, 20_050)] + [(7, 7), (-5, -5), (2**62, -(2**62))]
+    rng.shuffle(edges)
+    monkeypatch.setattr(of, "BLOCK_EDGES", block)
+    monkeypatch.setattr(of, "TASK_EDGES", task)
+    df = spark.createDataFrame(edges, "a long, b long")
+    found = of.components(df, lambda x: rounds.append(1) or written(x)).collect()
+    assert len(found) == len({r.id for r in found}) and {r.id: r.root for r in found} == of.union_find(edges)
+    assert of.forest(df.coalesce(1)).count() < 1200
+    assert task < 1000 or len(rounds) == 3
