@@ -65,6 +65,9 @@ class Stage:
         self.panics: list[tuple[DataFrame, str]] = []
         # by relation, for each frame of rows: its literals by position, and whether its rows are many and never repeat
         self.known: dict[str, list[tuple[dict[int, Any], bool]]] = {}
+        # functions with a frame of rows whose keys don't repeat, and constructors whose rows take ids from unions
+        self.unique: set[str] = set()
+        self.given: set[str] = set()
 
 
 class Builder:
@@ -73,6 +76,9 @@ class Builder:
     def __init__(self, engine: Engine, df: DataFrame, env: dict[str, Column]):
         self.engine, self.df, self.env, self.n = engine, df, env, 0
         self.out: list[tuple] = []
+        self.cheap = False  # whether matches are a scan of a table, which costs less than to write them
+        self.apart: set[str] | None = None  # flat variables that tell matches apart, if some are known to
+        self.flat: dict[str, str] = {}  # flat variables by variables of the body, and then by columns
 
     def keep(self, value: Column) -> str:
         self.n += 1
@@ -80,6 +86,12 @@ class Builder:
         self.df = self.df.withColumn(name, value)
         return name
 
+    def argument(self, e: Typed) -> str:
+        name = self.keep(self.value(e))
+        if e.what == "var" and e.name in self.flat:
+            self.flat[name] = self.flat[e.name]
+        return name
+
     def value(self, e: Typed) -> Column:
         if e.what == "lit":
             return literal(e)
@@ -94,12 +106,13 @@ class Builder:
             value = e.prim.make(*args)
             return self.checked(value, e) if e.prim.partial else value
         t = self.engine.tables[e.name]
-        names = [self.keep(self.value(a)) for a in e.args]
+        names = [self.argument(a) for a in e.args]
         if t.kind == "relation":
             self.out.append(("row", t.name, names, None))
             return F.lit(True)
         if t.kind == "constructor":
             return self.term(t, names)
+        self.cheap = False
         own = t.df(self.engine.spark).select(*[F.col(c).alias(n) for c, n in zip(t.keys, names, strict=True)], F.col("out").alias(f"o{self.n}"))
         self.df = self.df.join(own, names, "left") if names else self.df.crossJoin(own) if t.n else self.df.withColumn(f"o{self.n}", F.lit(None).cast(t.out.ddl))
         return self.checked(F.col(f"o{self.n}"), e, "lookup")
@@ -107,7 +120,7 @@ class Builder:
     def term(self, t: Table, names: list[str]) -> Column:
         made = F.xxhash64(F.lit(t.name), *[F.col(n) for n in names])
         if t.moved and t.n:  # an older row may have another id by now
-            self.n += 1
+            self.n, self.cheap = self.n + 1, False
             own = t.df(self.engine.spark).select(*[F.col(c).alias(n) for c, n in zip(t.keys, names, strict=True)], F.col("out").alias(f"o{self.n}"))
             self.df = self.df.join(F.broadcast(own) if t.n <= BROADCAST_ROWS else own, names, "left") if names else self.df.crossJoin(own)
             made = F.coalesce(F.col(f"o{self.n}"), made)
@@ -115,6 +128,16 @@ class Builder:
         self.out.append(("row", t.name, names, id_))
         return F.col(id_)
 
+    def given(self, x: Typed, y: Typed) -> bool:
+        """A union of a variable and a term: the term's row takes the variable's id, so a new term needs no union. If it has
+        another id, or other rows give it one, the table's insertion unites these."""
+        for v, e in ((x, y), (y, x)):
+            if v.what == "var" and e.what == "table" and e.args and self.engine.tables[e.name].kind == "constructor":
+                names = [self.argument(a) for a in e.args]
+                self.out.append(("given", e.name, names, self.keep(self.value(v))))
+                return True
+        return False
+
     def checked(self, value: Column, e: Typed, what: str = "call of primitive") -> Column:
         return F.when(value.isNull(), F.raise_error(F.lit(f"{what} {e.name} failed")).cast(e.sort.ddl)).otherwise(value)
 
@@ -123,6 +146,7 @@ class Builder:
             match a:
                 case ("let", name, e):
                     self.env[name] = F.col(self.keep(self.value(e)))
+                    self.flat.pop(name, None)
                 case ("do", e):
                     value = self.value(e)
                     if e.what == "prim":
@@ -132,7 +156,8 @@ class Builder:
                     value = self.value(e)
                     self.out.append(("row", f, names, None if self.engine.tables[f].kind == "relation" else self.keep(value)))
                 case ("union", x, y):
-                    self.out.append(("union", self.keep(self.value(x)), self.keep(self.value(y))))
+                    if not self.given(x, y):
+                        self.out.append(("union", self.keep(self.value(x)), self.keep(self.value(y))))
                 case ("delete" | "subsume", f, args):
                     names = [self.keep(self.value(x)) for x in args]
                     if a[0] == "subsume":
@@ -145,14 +170,18 @@ class Builder:
     def stage(self, stage: Stage) -> None:
         """Stage what the actions said. Matches that several of them use are computed once."""
         df = self.df
-        if len(self.out) > 1:
+        if len(self.out) > 1 and not self.cheap:
             df, n = self.engine.settled(df)
             if not n:
                 return
         for o in self.out:
             match o:
-                case ("row", f, names, out):
+                case ("row" | "given" as what, f, names, out):
                     t = self.engine.tables[f]
+                    if self.apart is not None and self.apart <= {self.flat.get(n) for n in names}:
+                        stage.unique.add(f)
+                    if what == "given":
+                        stage.given.add(f)
                     stage.rows.setdefault(f, []).append(df.select(*[F.col(n).alias(c) for n, c in zip(names, t.keys, strict=True)], *([F.col(out).alias("out")] if out else [])))
                 case ("union", a, b):
                     stage.unions.append(df.select(F.col(a).alias("a"), F.col(b).alias("b")))
@@ -269,10 +298,14 @@ class Engine:
             raise ProgramError(f"{name}: a row has a null")
         stamped = lambda x: x.withColumn("ts", F.lit(self.ts).cast("long")).withColumn("sub", F.lit(False))
         if unique:
-            own = stamped(own)
+            own, t.sure = stamped(own), False
             n = size if size is not None else own.count()
         else:
-            own, n = settle(stamped(own.dropDuplicates(t.keys)), expect_large=df.count() > LOCAL_ROWS)
+            large = (rows := df.count()) > LOCAL_ROWS
+            # Rows that seldom repeat are dealt by ranges, so that rows of near keys stay together.
+            if large and t.keys and 2 * own.agg(F.approx_count_distinct(F.xxhash64(*t.keys))).head()[0] > rows:
+                own = own.repartitionByRange(*t.keys)
+            own, n = settle(stamped(own.dropDuplicates(t.keys)), expect_large=large)
         if n:
             t.parts = [Part(own, n, self.ts, self.ts)]
         self.ts += 1
@@ -384,6 +417,9 @@ class Engine:
         """only: df holds all matches there are."""
         env = {v: F.col(t.name) if t.name else literal(t) for v, t in rule.names.items()}
         b = Builder(self, df, env)
+        b.flat = {v: t.name for v, t in rule.names.items() if t.name}
+        b.apart = self.apart(rule)
+        b.cheap = b.apart is not None and len(rule.atoms) == 1 and not rule.steps and not any(p.gone for p in self.tables[rule.atoms[0].table].parts)
         b.run(rule.head)
         b.stage(stage)
         match rule.head:
@@ -391,6 +427,12 @@ class Engine:
                 sure = only and not self.tables[e.name].n and not self.is_read(e.name) and self.one_each(rule, rule.needed)
                 stage.known.setdefault(e.name, []).append(({i: a.value for i, a in enumerate(e.args) if a.what == "lit"}, sure))
 
+    def apart(self, rule: Rule) -> set[str] | None:
+        """Flat variables that tell a rule's matches apart: all in keys of atoms, if the tables are known to have each key once."""
+        if not rule.atoms or not all(self.tables[a.table].sure for a in rule.atoms):
+            return None
+        return {t.name for a in rule.atoms for t in a.keys if t.name}
+
     def is_read(self, name: str) -> bool:
         return any(a.table == name for r in self.rules for a in r.atoms)
 
@@ -441,7 +483,9 @@ class Engine:
         for f, dfs in stage.rows.items():
             views, dfs = self.views(dfs, stage.known.get(f, []))
             if dfs:
-                own, more = self.insert(self.tables[f], reduce(DataFrame.unionByName, dfs), now)
+                if f in stage.given:
+                    self.tables[f].moved = True
+                own, more = self.insert(self.tables[f], reduce(DataFrame.unionByName, dfs), now, unique=f in stage.unique and len(stage.rows[f]) == 1)
                 changed |= own
                 edges += more
             for df in views:
@@ -468,14 +512,17 @@ class Engine:
         view = [sure and all(apart(own, other) for j, (other, _) in enumerate(known) if j != i) for i, (own, sure) in enumerate(known)]
         return [d for d, v in zip(dfs, view, strict=True) if v], [d for d, v in zip(dfs, view, strict=True) if not v]
 
-    def insert(self, t: Table, rows: DataFrame, now: int) -> tuple[bool, list[DataFrame]]:
-        """Insert or merge rows (keys, result, and maybe the flag sub); whether that changed the table, and edges of unions."""
+    def insert(self, t: Table, rows: DataFrame, now: int, unique: bool = False, few: bool = False) -> tuple[bool, list[DataFrame]]:
+        """Insert or merge rows (keys, result, and maybe the flag sub); whether that changed the table, and edges of unions.
+        unique: no key repeats in rows; few: rows are a table without lineage that can be broadcast."""
         flag = "sub" in rows.columns
         old = t.df(self.spark)
+        if few and t.keys:  # else all of the old rows are shuffled
+            old = old.join(F.broadcast(rows.select(*t.keys).distinct()), t.keys, "left_semi").select(*old.columns)
         stamp = lambda df: df.withColumn("ts", F.lit(now).cast("long")).withColumn("sub", F.col("sub") if flag else F.lit(False))
         agg = [F.bool_or("sub").alias("sub")] if flag else []
         if t.kind != "custom" and (t.kind == "relation" or not t.moved) and not flag:
-            new = rows.dropDuplicates(t.keys) if t.keys else rows.limit(1)
+            new = rows if unique else rows.dropDuplicates(t.keys) if t.keys else rows.limit(1)
             if t.n:
                 new = new.join(old.select(*t.keys), t.keys, "left_anti") if t.keys else new.limit(0)
             df, n = self.settled(stamp(new).select(*old.columns))
@@ -490,19 +537,23 @@ class Engine:
             t.add(df, n, now)
             return n > 0, []
         if t.kind == "constructor":
-            found = rows.groupBy(*t.keys).agg(F.min("out").alias("out"), F.max("out").alias("most"), *agg)
+            found = rows.withColumn("most", F.col("out")) if unique and not flag else rows.groupBy(*t.keys).agg(F.min("out").alias("out"), F.max("out").alias("most"), *agg)
             found = self.with_old(t, found, old)
-            found, n = self.settled(found)
+            found, n = self.settled(stamp(found))
             if not n:
                 return False, []
-            new, m = self.settled(stamp(found.where(F.col("old").isNull())).select(*old.columns))
+            new = found.where(F.col("old").isNull()).select(*old.columns)
+            m = new.count() if t.n else n
+            if n <= LOCAL_ROWS or 2 * m < n:  # else new rows are a scan of what is written
+                new, m = self.settled(new)
             t.add(new, m, now)
             edges = []
             if m < n:
                 edges.append(found.where(F.col("old").isNotNull() & (F.col("old") != F.col("out"))).select(F.col("out").alias("a"), F.col("old").alias("b")))
             if t.moved:  # ids between the least and the greatest: all of a key's ids meet in one class
-                every = rows.join(found.where("out <> most").select(*t.keys, F.col("out").alias("least")), t.keys) if t.keys else rows.crossJoin(found.where("out <> most").select(F.col("out").alias("least")))
-                edges.append(every.where("out <> least").select(F.col("out").alias("a"), F.col("least").alias("b")))
+                if not unique and not found.where("out <> most").isEmpty():
+                    every = rows.join(found.where("out <> most").select(*t.keys, F.col("out").alias("least")), t.keys) if t.keys else rows.crossJoin(found.where("out <> most").select(F.col("out").alias("least")))
+                    edges.append(every.where("out <> least").select(F.col("out").alias("a"), F.col("least").alias("b")))
                 if flag and m < n:
                     self.subsume(t, found.where(F.col("old").isNotNull() & F.col("sub")).select(*t.keys), now)
             return m > 0, edges
@@ -657,7 +708,7 @@ class Engine:
             t.clear()
         t.moved = True
         rows = df.select(*t.keys, *t.values, *(["sub"] if t.kind != "custom" else []))
-        return self.insert(t, rows, now)[1]
+        return self.insert(t, rows, now, few=m <= BROADCAST_ROWS)[1]
 
     def hit(self, df: DataFrame, sorts: dict[str, Sort], own: list[str], moves: DataFrame, n: int) -> DataFrame:
         """The rows of df that hold an id that moved, with new_ columns of what its columns become."""
@@ -836,7 +887,10 @@ class Engine:
             return self.spark.createDataFrame([], ", ".join(f"`{v}` {rule.names[v].sort.ddl}" for v in names or []) or "one int")
         env = {v: F.col(t.name) if t.name else literal(t) for v, t in rule.names.items()}
         out = found[0].select(*[env[v].alias(v) for v in names]) if names else found[0]
-        return out.distinct() if distinct and not self.one_each(rule, {rule.names[v].name for v in names or []} - {""}) else out
+        own = {rule.names[v].name for v in names or []} - {""}
+        if distinct and (apart := self.apart(rule)) is not None and apart <= own:
+            return out
+        return out.distinct() if distinct and not self.one_each(rule, own) else out
 
     def query(self, names: list[str] | str, facts: str) -> DataFrame:
         """The distinct values of variables for which facts hold, as a DataFrame."""

@@ -55,11 +55,12 @@ class Table:
     parts: list[Part] = field(default_factory=list)
     hidden: bool = False
     moved: bool = False  # whether some id of it isn't the hash of its row any more
+    sure: bool = True  # whether each key is known to be in it once, and not only said to be
     lost: int = 0  # rows of its parts that are gone
     counted: tuple[int, dict[str, int]] | None = None  # rows when values were counted, and about how many a column had
 
     def copy(self) -> Table:
-        return Table(self.name, self.takes, self.out, self.kind, self.merge, self.cost, self.extractable, list(self.parts), self.hidden, self.moved, self.lost)
+        return Table(self.name, self.takes, self.out, self.kind, self.merge, self.cost, self.extractable, list(self.parts), self.hidden, self.moved, self.sure, self.lost)
 
     @property
     def keys(self) -> list[str]:

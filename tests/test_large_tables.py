@@ -138,3 +138,40 @@ def test_components_by_blocks_and_rounds(spark, monkeypatch, block, task):
     assert len(found) == len({r.id for r in found}) and {r.id: r.root for r in found} == of.union_find(edges)
     assert of.forest(df.coalesce(1)).count() < 1200
     assert task < 1000 or len(rounds) == 3
+
+
+def test_new_terms_take_the_id_that_a_union_gives(spark):
+    """Only terms that there were before are united, and those that several rows give one term."""
+    e = Engine(spark)
+    e.bind("edge", spark.createDataFrame([*((k, k + 1) for k in range(30)), (8, 7), (40, 40)], "a long, b long"), unique=True)
+    e.run("(datatype V (P i64 i64) (G V)) (rewrite (P a b) (P b a)) (rule ((edge a b)) ((G (P a b)))) (run 3)")
+    assert (e.size("P"), e.size("G"), e.state["n_moved"]) == (61, 31, 2)
+    e.run("(check (= (P 7 8) (P 8 7)) (= (P 3 4) (P 4 3)) (= (G (P 8 7)) (G (P 7 8)))) (fail (check (= (P 3 4) (P 7 8))))")
+    e.run("(P 50 51) (P 51 50) (run 2) (check (= (P 50 51) (P 51 50)))")
+    e.run("(datatype W (A i64) (B i64) (C i64) (H W)) (ruleset r) (rule ((= x (A i))) ((union x (C 0)) (H (C 0))) :ruleset r) (rule ((= x (B i))) ((union (C 1) x)) :ruleset r) (A 1) (A 2) (A 3) (B 1) (B 2) (C 1) (H (A 2)) (run r 2)")
+    e.run("(check (= (A 1) (A 3)) (= (A 2) (C 0)) (= (B 1) (B 2)) (= (B 2) (C 1)) (= (H (C 0)) (H (A 3)))) (fail (check (= (A 1) (B 1)))) (rule ((= x (C 0)) (= y (C 1))) ((union x y)) :ruleset r) (run r 2) (check (= (A 1) (B 2)))")
+    assert (e.size("H"), e.size("A"), e.size("C")) == (1, 3, 2)
+
+
+def test_equality_over_many_rows(spark, tables, monkeypatch):
+    """The queries over lines in written tables; pairs are neither gathered nor compared again where keys tell them apart."""
+    import random
+
+    from rulespark import engine
+    from rulespark.operators import components, storage, tables as of
+    from rulespark.operators.components import union_find
+
+    for m in (engine, storage, of):
+        monkeypatch.setattr(m, "LOCAL_ROWS", 100)
+    monkeypatch.setattr(engine, "LOCAL_EDGES", 50)
+    monkeypatch.setattr(components, "TASK_EDGES", 200)
+    rng = random.Random(3)
+    lines = [(k, rng.randrange(300), rng.randrange(300) if k % 2 else 1000 + k) for k in range(1500)]
+    folder = tables(lineitem=("l_orderkey long, l_partkey long, l_suppkey long", lines + lines[:400]))
+    found = queries.QUERIES["rewrite_commute"](spark, folder)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in found.select("a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(sorted((p, s))) for _, p, s in lines}
+    root = union_find([(p, 10_000 + s) for _, p, s in lines])
+    got = [tuple(r) for r in queries.QUERIES["components_chain"](spark, folder).select("x_is", "x", "root").collect()]
+    assert sorted(got) == sorted(("part", x, r) if x < 10_000 else ("supplier", x - 10_000, r) for x, r in root.items())
