@@ -175,3 +175,55 @@ def test_equality_over_many_rows(spark, tables, monkeypatch):
     root = union_find([(p, 10_000 + s) for _, p, s in lines])
     got = [tuple(r) for r in queries.QUERIES["components_chain"](spark, folder).select("x_is", "x", "root").collect()]
     assert sorted(got) == sorted(("part", x, r) if x < 10_000 else ("supplier", x - 10_000, r) for x, r in root.items())
+
+
+@pytest.mark.parametrize("share, rounds", [(2, 1), (10**6, 5)])
+def test_what_shared_terms_lead_to_is_found_once(spark, tables, monkeypatch, share, rounds):
+    """Rows that share terms are followed by term, and inserted once, not by a round for each level of the terms."""
+    import random
+
+    from rulespark import engine
+
+    monkeypatch.setattr(engine, "FOLLOW_ROWS", 50)
+    monkeypatch.setattr(engine, "FOLLOW_SHARE", share)
+    inserts, insert, rng = [], engine.Engine.insert, random.Random(5)
+    monkeypatch.setattr(engine.Engine, "insert", lambda self, t, *a, **o: (r := insert(self, t, *a, **o), inserts.append(t.name) if r[0] else None)[0])
+    orders = [(k, k % 400, float(rng.randrange(5) * 50_000 + 7)) for k in range(3000)]
+    folder = tables(orders=("o_orderkey long, o_custkey long, o_totalprice double", orders))
+    got = {r.c: (r.n, r.total) for r in queries.QUERIES["merge_by_terms"](spark, folder).collect()}
+    values = {c: {int(p // 50_000) for _, d, p in orders if d == c} for c in range(400)}
+    assert got == {c: (len(v), sum(v)) for c, v in values.items()}
+    assert inserts.count("in") == 1 + rounds - (share > 2)
+
+
+def test_separable_relations(spark, monkeypatch):
+    """Several carried and followed columns, literals, conditions, cycles and later changes: rows are as by rounds."""
+    from rulespark import engine
+
+    program = (
+        "(relation go (i64 String i64 i64)) (relation at (i64 i64 String i64)) (ruleset walk)"
+        '(rule ((at c x k y) (go x k z y) (< z 5)) ((at c z k y)) :ruleset walk) (rule ((at c x "a" y) (!= x 4)) ((at c 4 "b" y) (at c x "b" y)) :ruleset walk)'
+    )
+    go = [(x, k, (x + 1) % 4, y) for x in range(4) for k in "ab" for y in range(2)] + [(2, "a", 5, 1), (1, "b", 3, 1)]
+    at = [(c, c % 3, "a" if c % 2 else "b", c % 4 // 2) for c in range(60)]
+    monkeypatch.setattr(engine, "FOLLOW_SHARE", 1)
+    found, did, insert = [], [], engine.Engine.insert
+    monkeypatch.setattr(engine.Engine, "insert", lambda self, t, *a, **o: (did.append(t.name), insert(self, t, *a, **o))[1])
+    for limit in (20, 10**6):
+        monkeypatch.setattr(engine, "FOLLOW_ROWS", limit)
+        did.clear()
+        e = Engine(spark)
+        e.run(program)
+        e.insert_rows("go", spark.createDataFrame(go, "a long, b string, c long, d long"))
+        e.insert_rows("at", spark.createDataFrame(at, "a long, b long, c string, d long"))
+        e.run("(run-schedule (saturate (run walk)))")
+        first, followed = e.size("at"), did.count("at from") > 0
+        e.run('(go 4 "b" 0 0) (at 7 7 "a" 1) (run-schedule (saturate (run walk)))')
+        found.append((first, sorted(map(tuple, e.rows("at").collect()))))
+        assert followed == (limit == 20)
+    want = set(at) | {(7, 7, "a", 1)}
+    while more := {(c, z, k, y) for c, x, k, y in want for x2, k2, z, y2 in [*go, (4, "b", 0, 0)] if (x, k, y) == (x2, k2, y2) and z < 5} | {(c, z, "b", y) for c, x, k, y in want if k == "a" and x != 4 for z in (4, x)} - want:
+        if more <= want:
+            break
+        want |= more
+    assert found[0] == found[1] and found[0][1] == sorted(want)
