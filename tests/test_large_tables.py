@@ -103,6 +103,18 @@ def test_pairs_of_a_relation_that_no_rule_reads_stay_a_join(spark, tables, monke
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("columns", ["k long, y long", "k long, y long, z long"])
+def test_a_broadcast_side_is_read_by_key(spark, columns):
+    """Values of one other column are gathered by key, with repeats; of more they are looked up row by row."""
+    from rulespark.plans.rules import spread
+
+    many, some = [(1, 5), (1, 6), (2, 7), (3, 8)], [(1, 10, 0), (1, 10, 0), (1, 11, 1), (2, 12, 0), (4, 13, 0)]
+    a, b = spark.createDataFrame(many, "k long, x long"), spark.createDataFrame([r[: columns.count("long")] for r in some], columns)
+    found = spread(a, b, ["k"], 1e7, 1e6, 5, 10)
+    assert ("Generate" in found._jdf.queryExecution().optimizedPlan().toString()) == ("z" not in columns)
+    assert sorted(map(tuple, found.select("k", "x", "y").collect())) == sorted((k, x, y) for k, x in many for j, y, _ in some if j == k)
+
+
 def test_values_are_computed_once(spark):
     """Later filters and uses don't copy what Python or containers compute."""
     import re
